@@ -61,13 +61,18 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
 
 
 def slots(sources: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """(sid, epoch, slot, shard, block): what every slot of the mix shows."""
+    """(sid, epoch, slot, shard, block): what every slot of the mix shows.
+
+    Chunk numbers are few and small but unfold to many slots, so they are dealt to a stated number
+    of tasks, which adaptive execution leaves alone.
+    """
+    spread = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.ceil(F.col("source_size") / block).cast("long")
     wanted = F.round(F.col("target") * n / F.col("source_size")).cast("long")
     counted = sources.where("source_size > 0").select("sid", n.alias("n"), wanted.alias("slots"))
     shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / PER_SHARD)).cast("long")
     counted = counted.withColumn("shards", shards).where("slots > 0")
-    chunks = counted.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}")))).repartition("sid", "_c")
+    chunks = counted.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}")))).repartition(spread, "sid", "_c")
     last = F.least(F.col("slots"), (F.col("_c") + 1) * CHUNK) - 1
     rows = chunks.withColumn("slot", F.explode(F.sequence(F.col("_c") * CHUNK, last))).withColumn("epoch", F.expr("slot div n"))
     shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "slot"), F.col("shards"))
@@ -88,7 +93,7 @@ def mix(
     end = F.col("_at") + F.col("size")
     spans = placed.where("size > 0").select("sid", "_at", end.alias("_end"), F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("block"))
     words = F.least(F.col("_end"), (F.col("block") + 1) * block) - F.greatest(F.col("_at"), F.col("block") * block)
-    shown = slots(sources, block, seed).groupBy("sid", "block").agg(F.count("*").alias("_times"))
+    shown = slots(sources, block, seed).groupBy("sid", "block").agg(F.count("*").alias("_times")).hint("merge")  # its size is guessed from the few sources
     taken = spans.withColumn("_words", words).join(shown, ["sid", "block"]).groupBy("sid", "_at").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
     full = placed.withColumn("_key", F.when(F.col("size") > 0, F.col("_at")))
     joined = full.join(taken.select(F.col("sid").alias("_sid"), F.col("_at").alias("_k"), "_taken"), (F.col("sid") == F.col("_sid")) & (F.col("_key") == F.col("_k")), "left")
