@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import compression, hilbert, licenses, linespread, media, mixing, packing, sql
+from braidwork.llm import compression, hilbert, licenses, linespread, media, mixing, packing, sql, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(spark, _docs(spark, sf_dir))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(_docs(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op10_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_compression_bands": op3_compression_bands,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_signature_sniffing": op5_signature_sniffing,
