@@ -159,7 +159,7 @@ def common_prefixes(blob: bytes, order: np.ndarray, width: int = WIDTH) -> np.nd
         ended = differ != 0
         if ended.any():
             x = differ[ended]
-            out[alive[ended]] = at + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) // 8
+            out[alive[ended]] = at + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
             alive = alive[~ended]
     return out
 

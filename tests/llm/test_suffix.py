@@ -35,7 +35,7 @@ def corpus(rng, width, n):
     return texts
 
 
-@pytest.mark.parametrize("width", [24, 37, 64])
+@pytest.mark.parametrize("width", [24, 37, 64, 400])
 def test_suffix_array_finds_all_windows(width):
     rng = random.Random(width)
     for _ in range(15):
