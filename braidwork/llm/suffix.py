@@ -262,7 +262,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     minis = listed.groupBy("mini").agg(
         F.count("*").alias("_m"), F.min("c1").alias("_a1"), F.max("c1").alias("_b1"), F.min("c2").alias("_a2"), F.max("c2").alias("_b2")
     ).where("_m > 1").select("mini", ((F.col("_a1") != F.col("_b1")) | (F.col("_a2") != F.col("_b2"))).alias("several"))
-    places = scratch.keep(listed.join(minis, "mini"))
+    # written first: a join of two plain exchanges is one whose large partitions can be split
+    places = scratch.keep(listed.join(scratch.keep(minis), "mini"))
     scratch.drop(listed)
 
     contents = places.where("several").groupBy(*whole).agg(F.count("*").alias("copies"), F.min_by(F.struct("_id", "_tag", "pos", "n"), F.struct("_id", "_tag", "pos")).alias("_at"))
