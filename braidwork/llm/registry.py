@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import compression, hilbert, licenses, linespread, media, mixing, packing, sql, suffix
+from braidwork.llm import compression, hilbert, hyperminhash, licenses, linespread, media, mixing, packing, sql, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(spark, _docs(spark, sf_dir))
 
 
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(spark, _docs(spark, sf_dir), k=3, percent=85).drop("text_tag")
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(_docs(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def op10_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_hyperminhash": op2_hyperminhash,
     "op3_compression_bands": op3_compression_bands,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_signature_sniffing": op5_signature_sniffing,
