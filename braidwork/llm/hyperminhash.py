@@ -1,21 +1,25 @@
 """MinHash near-dedup: HyperMinHash.
 
-A document is its set of word shingles, hashed to 64 bits. The top bits of a hash choose one of 128
-registers; of the least remaining value a register holds the count of leading zeros and ten mantissa
-bits. Empty registers borrow their right neighbour's value, marked with the distance, so that short
-documents have full sketches. Bands of five registers make candidates; an estimate of the Jaccard
-similarity, corrected for chance collisions, discards those far below the threshold; the rest is
+A document is its set of word shingles, hashed to 64 bits. A sketch has 128 registers; a register holds,
+of the least hash that falls to it, the count of leading zeros and ten mantissa bits. Large sets are
+parted among the registers by their top bits; an empty register borrows its right neighbour's value,
+marked with the distance, for banding alone. Sets of up to 256 shingles, which would leave registers
+empty, get one permutation of the hashes for each register instead; sets that may resemble sets on either
+side of the border have both sketches. Bands of five registers make candidates; an estimate of the
+Jaccard similarity, corrected for chance collisions, discards those far below the threshold; the rest is
 verified on full sets with integers.
 
 1. One pass makes sketches. Documents with equal sets collapse to the one with the least id.
-2. In each band bucket, members are tied to the least member, without verification. The components of
-   these ties hold every candidate pair, and are small unless copies abound.
-3. Only members of components of two or more carry their texts on. A task verifies inside one
-   component: band buckets again, least member first, then only pairs that aren't connected yet. A
-   component beyond `largest` members or `heaviest` shingles is split into chunks, and each pair of
-   chunks is a task, so that no task grows with a group, and no pair of copies becomes a row.
+2. Members of a band bucket that is shared meet as sketches. The task ties those whose estimate is not
+   far below the threshold (union-find: a forest, not all pairs). The components of these ties hold every
+   pair that can be similar.
+3. Only members of components of two or more carry their texts on. A task verifies inside one component:
+   band buckets again, least member first, then only pairs that aren't connected yet.
 4. Verified ties, a forest from each task, and the ties of equal sets give the final components.
 
+A bucket or component beyond `largest` members (or `heaviest` shingles) is split into chunks, and each pair
+of chunks is a task, so that no task grows with a group, and no pair of copies becomes a row.
+
 At the threshold t a pair shares no band with probability (1 - t^5)^25: 4e-7 at 0.85, 5e-5 at 0.8. The
 estimate discards a pair only if it lies six standard deviations below the threshold.
 
@@ -31,7 +35,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.columns import text_tag
@@ -41,6 +45,8 @@ from braidwork.llm.scratch import Scratch
 
 REGISTERS, MANTISSA, BAND = 128, 10, 5
 BANDS = REGISTERS // BAND
+#: Sets up to this size are sketched by permutations.
+SMALL = 256
 LARGEST, HEAVIEST = 3000, 3_000_000
 _TOP = 64 - REGISTERS.bit_length() + 1  # bits below those that choose a register
 
@@ -99,31 +105,54 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def registers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Densified registers (uint32) and which of them were filled by the set itself."""
-    bounds = np.arange(REGISTERS + 1, dtype=object) << _TOP
-    at = np.searchsorted(hashes, np.array(bounds[:-1], np.uint64))
-    nxt = np.append(at[1:], len(hashes))
-    filled = nxt > at
-    out = np.zeros(REGISTERS, np.uint32)
-    if not len(hashes):
-        return out, filled
-    low = hashes[at[filled]] & np.uint64((1 << _TOP) - 1)
-    bits = np.frexp(low.astype(np.float64))[1]  # length in bits, but for rounding up that is the same for equal values
-    zeros = _TOP - bits
+def _compress(low: np.ndarray, width: int) -> np.ndarray:
+    """Leading zeros among `width` bits, from one up (zero is an empty register), and the bits after the leading one."""
+    bits = np.frexp(low.astype(np.float64))[1]  # length in bits; where rounding adds one, it does so for equal values alike
     shift = bits - 1 - MANTISSA
     scaled = np.where(shift >= 0, low >> np.maximum(shift, 0).astype(np.uint64), low << np.maximum(-shift, 0).astype(np.uint64))
-    out[filled] = (zeros.astype(np.uint32) << np.uint32(MANTISSA)) | (scaled & np.uint64((1 << MANTISSA) - 1)).astype(np.uint32)
-    have = np.flatnonzero(filled)
-    donor = have[np.searchsorted(have, np.arange(REGISTERS)) % len(have)]
-    distance = (donor - np.arange(REGISTERS)) % REGISTERS
-    return out[donor] | (distance.astype(np.uint32) << np.uint32(17)), filled
+    zeros = np.clip(width - bits + 1, 1, 63)
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (scaled & np.uint64((1 << MANTISSA) - 1)).astype(np.uint16)
+
+
+def parted(hashes: np.ndarray) -> np.ndarray:
+    """Registers of a set whose hashes are parted by their top bits; 0 where none fell."""
+    bounds = np.array(np.arange(REGISTERS, dtype=object) << _TOP, np.uint64)
+    at = np.searchsorted(hashes, bounds)
+    filled = np.append(at[1:], len(hashes)) > at
+    out = np.zeros(REGISTERS, np.uint16)
+    out[filled] = _compress(hashes[at[filled]] & np.uint64((1 << _TOP) - 1), _TOP)
+    return out
+
+
+@cache
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, (2, REGISTERS, 1), dtype=np.uint64)
+    return draw[0], draw[1] * np.uint64(2) + np.uint64(1)
+
+
+def permuted(hashes: np.ndarray) -> np.ndarray:
+    """Registers of a set by one permutation of the hashes each."""
+    flip, odd = _permutations()
+    return _compress(((hashes[None] ^ flip) * odd).min(1), 64)
+
+
+def dense(held: np.ndarray) -> np.ndarray:
+    """Registers with empty ones filled from the right, marked with the distance."""
+    have = np.flatnonzero(held)
+    place = np.arange(REGISTERS)
+    donor = have[np.searchsorted(have, place) % len(have)]
+    return held[donor].astype(np.uint32) | (((donor - place) % REGISTERS).astype(np.uint32) << np.uint32(16))
+
 
+def schemes(n: int, percent: int) -> tuple[bool, bool]:
+    """Whether a set of n is sketched by permutations, and whether it is parted."""
+    return 0 < n <= SMALL * 100 // percent, n >= SMALL
 
-def band_keys(held: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, different bands apart."""
-    parts = held[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+
+def band_keys(held: np.ndarray, scheme: int) -> np.ndarray:
+    """One 64-bit key per band, different bands and schemes apart."""
+    parts = dense(held)[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(1000 * scheme)
     for i in range(BAND):
         out = _mix(out * _C + parts[:, i])
     return out.view(np.int64)
@@ -135,12 +164,64 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 0.169919487159739 * 2.0 ** (REGISTERS.bit_length() - 1 - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
 
 
-def estimate(one: np.ndarray, own: np.ndarray, n: int, others: np.ndarray, filled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corrected Jaccard estimates of one sketch with others, and the registers each rests on."""
-    used = (own | filled).sum(1)
-    same = ((others == one) & own & filled).sum(1)
-    corrected = np.maximum(0, same - chance(np.full(len(sizes), n), sizes))
-    return corrected / np.maximum(1, used - (used == REGISTERS) * chance(np.full(len(sizes), n), sizes)), used
+    own = one > 0
+    used = (own | (others > 0)).sum(1)
+    same = ((others == one) & own).sum(1)
+    by_chance = chance(np.full(len(sizes), n), sizes)
+    return np.maximum(0, same - by_chance) / np.maximum(1, used - by_chance), used
+
+
+def plausible(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which others may reach the threshold, by size and estimate, and the estimates."""
+    t = percent / 100
+    guess, used = estimate(one, n, others, sizes)
+    near = guess >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(1, used))
+    return near & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), guess
+
+
+class Forest:
+    """Union-find over 0..n-1 that keeps the ties which joined two trees."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.ties: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def tie(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.ties.append((i, j))
+
+
+def tie_bucket(forest: Forest, bucket: np.ndarray, held: np.ndarray, sizes: np.ndarray, percent: int, test) -> None:
+    """Tie all members of a bucket that are plausible and pass `test`, unless they are connected already.
+
+    First everyone with the first member; then those outside the largest tree with all others, likeliest first.
+    """
+    lead = int(bucket[0])
+    near, _ = plausible(held[lead], sizes[lead], held[bucket], sizes[bucket], percent)
+    for j in bucket[near].tolist():
+        if forest.find(j) != forest.find(lead) and test(lead, j):
+            forest.tie(lead, j)
+    roots = np.array([forest.find(j) for j in bucket.tolist()])
+    values, counts = np.unique(roots, return_counts=True)
+    if len(values) < 2:
+        return
+    for i in bucket[roots != values[counts.argmax()]].tolist():
+        near, guess = plausible(held[i], sizes[i], held[bucket], sizes[bucket], percent)
+        order = np.flatnonzero(near)
+        for j in bucket[order[np.argsort(-guess[order], kind="stable")]].tolist():
+            if forest.find(i) != forest.find(j) and test(i, j):
+                forest.tie(i, j)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -157,93 +238,104 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets, by index, under the banding of the sketches."""
-    m = len(sets)
-    sketch = [registers(s) for s in sets]
-    held = np.array([r for r, _ in sketch])
-    filled = np.array([f for _, f in sketch])
     sizes = np.array([len(s) for s in sets])
-    keys = np.array([band_keys(r) for r in held])
-    t = percent / 100
-    parent = list(range(m))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    forest, tested = [], set()
+    forest, tested = Forest(len(sets)), set()
 
-    def test(i: int, j: int) -> None:
+    def test(i: int, j: int) -> bool:
         pair = (i, j) if i < j else (j, i)
         if pair in tested:
-            return
+            return False
         tested.add(pair)
-        if similar(sets[i], sets[j], percent):
-            forest.append(pair)
-            parent[find(max(pair))] = find(min(pair))
-
-    for band in range(BANDS):
-        by = np.argsort(keys[:, band], kind="stable")
-        ordered = keys[by, band]
-        cuts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [m]))
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-            if b - a < 2:
-                continue
-            bucket = by[a:b]
-            lead = int(bucket[0])
-            for j in bucket[1:].tolist():
-                if find(j) != find(lead):
-                    test(lead, j)
-            roots = np.array([find(j) for j in bucket.tolist()])
-            values, counts = np.unique(roots, return_counts=True)
-            if len(values) < 2:
-                continue
-            main = values[counts.argmax()]
-            for i in bucket[roots != main].tolist():
-                guess, used = estimate(held[i], filled[i], sizes[i], held[bucket], filled[bucket], sizes[bucket])
-                near = guess >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(1, used))
-                near &= 100 * np.minimum(sizes[bucket], sizes[i]) >= percent * np.maximum(sizes[bucket], sizes[i])
-                order = np.flatnonzero(near)
-                for j in bucket[order[np.argsort(-guess[order], kind="stable")]].tolist():
-                    if j != i and find(i) != find(j):
-                        test(i, j)
-    return forest
-
-
-def _sketches(docs: DataFrame, k: int) -> DataFrame:
+        return similar(sets[i], sets[j], percent)
+
+    for scheme, sketch in enumerate((permuted, parted)):
+        own = np.array([i for i, s in enumerate(sets) if schemes(len(s), percent)[scheme]], np.int64)
+        if len(own) < 2:
+            continue
+        held = np.zeros((len(sets), REGISTERS), np.uint16)
+        held[own] = [sketch(sets[i]) for i in own]
+        keys = np.array([band_keys(held[i], scheme) for i in own])
+        for band in range(BANDS):
+            by = np.argsort(keys[:, band], kind="stable")
+            ordered = keys[by, band]
+            cuts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(own)]))
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                if b - a > 1:
+                    tie_bucket(forest, own[by[a:b]], held, sizes, percent, test)
+    return forest.ties
+
+
+def _sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     import xxhash
 
     kind = dict(docs.dtypes)["_id"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, first, second, keys = [], [], [], []
+            n, first, second = [], [], []
+            held, keys = ([], []), ([], [])
             for text in batch.column(2):
                 s = shingles(text.as_py(), k)
                 mark = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 n.append(len(s)), first.append(int(mark[0])), second.append(int(mark[1]))
-                keys.append(band_keys(registers(s)[0]) if len(s) else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], names=["_id", "_tag", "n", "f1", "f2", "bands"])
+                for scheme, (sketch, wanted) in enumerate(zip((permuted, parted), schemes(len(s), percent), strict=True)):
+                    own = sketch(s) if wanted else None
+                    held[scheme].append(None if own is None else own.tobytes())
+                    keys[scheme].append(np.zeros(0, np.int64) if own is None else band_keys(own, scheme))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))) for own in keys]
+            cols = [pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(held[0], pa.binary()), pa.array(held[1], pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["_id", "_tag", "n", "f1", "f2", "r0", "r1", "b0", "b1"])
 
-    return docs.mapInArrow(made, f"_id {kind}, _tag long, n long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(made, f"_id {kind}, _tag long, n long, f1 long, f2 long, r0 binary, r1 binary, b0 array<long>, b1 array<long>")
+
+
+def _groups(table: pa.Table, n_keys: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the groups of equal first columns."""
+    new = np.zeros(table.num_rows, bool)
+    for c in range(n_keys):
+        k = table.column(c).to_numpy()
+        new[1:] |= k[1:] != k[:-1]
+    cuts = [0, *np.flatnonzero(new).tolist(), table.num_rows]
+    return zip(cuts, cuts[1:], strict=False)
+
+
+def _tie_sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, node, n, regs) in order of the first three, to ties (a, b) worth verifying."""
+    for table in runs(batches, 3, 1 << 20):
+        nodes, sizes = table.column("node").to_numpy(), table.column("n").to_numpy()
+        held = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        out = []
+        for a, b in _groups(table, 3):
+            if b - a > 1:
+                own = a + np.argsort(nodes[a:b], kind="stable")
+                forest = Forest(b - a)
+                tie_bucket(forest, np.arange(b - a), held[own], sizes[own], percent, lambda i, j: True)
+                out += [(int(nodes[own[x]]), int(nodes[own[y]])) for x, y in forest.ties]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (root, i, j, node, _text) in order of the first three, to verified ties (a, b)."""
     for table in runs(batches, 3, 1 << 20):
-        roots, i, j = (table.column(c).to_numpy() for c in range(3))
-        nodes = table.column("node").to_numpy()
-        cuts = np.flatnonzero((np.diff(roots) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        nodes, texts = table.column("node").to_numpy(), table.column("_text")
         out = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(roots)], strict=True):
-            own = np.argsort(nodes[a:b], kind="stable")
-            sets = [shingles(table.column("_text")[a + int(x)].as_py(), k) for x in own]
-            out += [(int(nodes[a + own[x]]), int(nodes[a + own[y]])) for x, y in linked(sets, percent)]
+        for a, b in _groups(table, 3):
+            own = a + np.argsort(nodes[a:b], kind="stable")
+            sets = [shingles(texts[int(x)].as_py(), k) for x in own]
+            out += [(int(nodes[own[x]]), int(nodes[own[y]])) for x, y in linked(sets, percent)]
         if out:
-            x, y = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+
+def _in_chunks(rows: DataFrame, chunks: Column, key: str, *others: str) -> DataFrame:
+    """(key, i, j, node, others): one task for a group of one chunk, else one for each pair of chunks.
+
+    A task holds both of its chunks whole, so with twice as many chunks it holds one chunk's worth, and i < j covers every pair.
+    """
+    dealt = rows.withColumn("_n", F.when(chunks > 1, chunks * 2).otherwise(1).cast("int")).withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    both = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).where("_o <> _c or _n = 1")
+    return both.select(key, F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "node", *others)
 
 
 def near_duplicates(
@@ -252,28 +344,28 @@ def near_duplicates(
     """One row per document: text_tag, n_shingles, component_id (least id reachable) and kept."""
     scratch = Scratch(spark, "minhash")
     own = docs.select(F.col(id_col).cast("long").alias("_id"), text_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
-    sketched = scratch.keep(_sketches(own, k))
+    sketched = scratch.keep(_sketches(own, k, percent))
     able = sketched.where("n > 0 and _id is not null")
     reps = scratch.keep(able.groupBy("f1", "f2").agg(F.min("_id").alias("rep")))
     copies = able.join(reps, ["f1", "f2"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-    unique = able.join(reps, (able["_id"] == reps["rep"]) & (able["f1"] == reps["f1"]) & (able["f2"] == reps["f2"])).select("_id", "_tag", "n", "bands")
+    unique = able.join(reps, (able["_id"] == reps["rep"]) & (able["f1"] == reps["f1"]) & (able["f2"] == reps["f2"])).select("_id", "_tag", "n", "r0", "r1", "b0", "b1")
     unique = scratch.keep(unique.dropDuplicates(["_id", "_tag"]))
 
-    keys = unique.select("_id", F.explode("bands").alias("key"))
-    leaders = scratch.keep(keys.groupBy("key").agg(F.min("_id").alias("b"), F.count("*").alias("_c")).where("_c > 1").drop("_c"))
-    ties = keys.join(leaders.hint("merge"), "key").where("_id <> b").select(F.col("_id").alias("a"), "b").distinct()
-    coarse = scratch.keep(components(scratch, ties))
-    members = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
-    weighed = scratch.keep(members.join(unique.select(F.col("_id").alias("node"), "_tag", "n"), "node"))
+    keys = unique.select("_id", "_tag", F.lit(0).alias("_s"), F.explode("b0").alias("key")).unionByName(unique.select("_id", "_tag", F.lit(1).alias("_s"), F.explode("b1").alias("key")))
+    shared = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1"))
+    routes = keys.join(shared.hint("merge"), "key").select("key", "_m", F.col("_id").alias("node"), F.col("_tag").alias("_t"), "_s")
+    routes = _in_chunks(routes, F.ceil(F.col("_m") / largest), "key", "_t", "_s")
+    regs = F.when(F.col("_s") == 0, F.col("r0")).otherwise(F.col("r1"))
+    met = routes.join(unique.hint("merge"), (F.col("node") == F.col("_id")) & (F.col("_t") == F.col("_tag"))).select("key", "i", "j", "node", "n", regs.alias("regs"))
+    tasks = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    ties = scratch.keep(tasks.mapInArrow(lambda it: _tie_sketches(it, percent), "a long, b long"))
+    coarse = components(scratch, ties)
+    members = scratch.keep(coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct()))
+    weighed = scratch.keep(members.join(unique.select(F.col("_id").alias("node"), F.col("_tag").alias("_t"), "n"), "node"))
     sizes = weighed.groupBy("root").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
-    chunks = F.greatest(F.ceil(F.col("_m") / largest), F.ceil(F.col("_w") / heaviest)).cast("int")
-    sized = weighed.join(sizes.select("root", chunks.alias("_n")), "root")
-    # with several chunks a task holds two of them whole, so their number doubles and i < j covers every pair
-    sized = sized.withColumn("_n", F.when(F.col("_n") > 1, F.col("_n") * 2).otherwise(1)).withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    routed = sized.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(
-        "root", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "node", F.col("_tag").alias("_t"), "_n"
-    ).where("i < j or _n = 1")
-    texts = own.join(members.select(F.col("node").alias("_n")), F.col("_id") == F.col("_n"), "left_semi").dropDuplicates(["_id", "_tag"])
+    chunks = F.greatest(F.ceil(F.col("_m") / largest), F.ceil(F.col("_w") / heaviest))
+    routed = _in_chunks(weighed.join(sizes, "root"), chunks, "root", "_t")
+    texts = own.join(weighed.select(F.col("node").alias("_n"), F.col("_t").alias("_u")), (F.col("_id") == F.col("_n")) & (F.col("_tag") == F.col("_u")), "left_semi").dropDuplicates(["_id", "_tag"])
     met = texts.join(routed, (F.col("_id") == F.col("node")) & (F.col("_tag") == F.col("_t"))).select("root", "i", "j", "node", "_text")
     tasks = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = scratch.keep(tasks.mapInArrow(lambda it: _verify(it, k, percent), "a long, b long"))

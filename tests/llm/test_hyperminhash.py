@@ -79,17 +79,16 @@ def test_edges(spark):
     assert hm.near_duplicates(spark, empty).count() == 0
 
 
-def test_estimates():
+@pytest.mark.parametrize(("sketch", "n"), [(hm.parted, 4000), (hm.permuted, 100)])
+def test_estimates(sketch, n):
     rng = np.random.Generator(np.random.PCG64(1))
     for share in (0.0, 0.5, 0.85):
         errors = []
         for _ in range(60):
-            n = 4000
-            both = int(2 * n * share / (1 + share))
+            both = round(2 * n * share / (1 + share))
             pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
             a, b = np.sort(pool[:n]), np.sort(pool[n - both : 2 * n - both])
-            (ra, fa), (rb, fb) = hm.registers(a), hm.registers(b)
-            errors.append(hm.estimate(ra, fa, n, rb[None], fb[None], np.array([n]))[0][0] - share)
+            errors.append(hm.estimate(sketch(a), n, sketch(b)[None], np.array([n]))[0][0] - both / (2 * n - both))
         assert abs(np.mean(errors)) < 0.02
 
 
