@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import compression, hilbert, hyperminhash, licenses, linespread, media, mixing, packing, sql, suffix
+from braidwork.llm import compression, cotrain, hilbert, hyperminhash, licenses, linespread, media, mixing, packing, sql, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(spark, _docs(spark, sf_dir))
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linespread.strip_boilerplate(spark, _docs(spark, sf_dir))
     text = F.coalesce("text", F.lit(""))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_signature_sniffing": op5_signature_sniffing,
     "op6_license_join": op6_license_join,
+    "op7_cotraining": op7_cotraining,
     "op8_site_spread": op8_site_spread,
     "op9_linear_grouping": op9_linear_grouping,
     "op10_block_mixing": op10_block_mixing,
