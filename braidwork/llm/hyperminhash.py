@@ -365,7 +365,8 @@ def near_duplicates(
     sizes = weighed.groupBy("root").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
     chunks = F.greatest(F.ceil(F.col("_m") / largest), F.ceil(F.col("_w") / heaviest))
     routed = _in_chunks(weighed.join(sizes, "root"), chunks, "root", "_t")
-    texts = sieve(own, "_id", weighed.select("node")).join(weighed.select(F.col("node").alias("_n"), F.col("_t").alias("_u")), (F.col("_id") == F.col("_n")) & (F.col("_tag") == F.col("_u")), "left_semi").dropDuplicates(["_id", "_tag"])
+    # not a semi-join, which the optimizer would push below the sieve; a repeated row only repeats a member
+    texts = sieve(own, "_id", weighed.select("node"))
     met = texts.join(routed, (F.col("_id") == F.col("node")) & (F.col("_tag") == F.col("_t"))).select("root", "i", "j", "node", "_text")
     tasks = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = scratch.keep(tasks.mapInArrow(lambda it: _verify(it, k, percent), "a long, b long"))
