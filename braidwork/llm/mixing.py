@@ -105,7 +105,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     A document without words isn't shown. Repeated rows share the mean of what they got.
     """
-    shown = mix(spark, docs, id_col, text_col, source_col, **how).groupBy(id_col, "text_tag").agg((F.sum("taken") / F.sum("size")).alias("_share"))
+    shown = mix(spark, docs, id_col, text_col, source_col, **how).groupBy(id_col, "text_tag").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_share"))
     shown = shown.select(F.col(id_col).alias("__bw_i"), F.col("text_tag").alias("__bw_t"), F.floor(F.col("_share") + 0.5).cast("int").alias("__bw_times")).where("__bw_times > 0")
     own = docs.withColumn("__bw_tag", text_tag(text_col))
     joined = own.join(shown, F.col(id_col).eqNullSafe(F.col("__bw_i")) & (F.col("__bw_tag") == F.col("__bw_t")))
