@@ -38,11 +38,11 @@ from braidwork.llm.scratch import Scratch
 
 WIDTH = 400
 GRAM = 16
-LIMIT = 16_000
+LIMIT = 4_000
 #: Window starts that are hashed at a time; places inside take 16 bits.
 CHUNK = 60_000
 #: Text of whole buckets that one suffix array is built over, at least.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -95,10 +95,10 @@ def suffix_order(parts: list[bytes], starts: np.ndarray, width: int = WIDTH) ->
     t[ends] = 0  # less than any byte
     step = np.diff(t, append=1)
     step[-1] = 1
-    place = np.arange(n)
-    settled = np.minimum.accumulate(np.where(step != 0, place, n - 1)[::-1])[::-1]
+    place, last = np.arange(n, dtype=np.int32), np.int32(n - 1)
+    settled = np.minimum.accumulate(np.where(step != 0, place, last)[::-1])[::-1]
     small = step[settled] > 0  # smaller than its successor; the ends count as such
-    next_small = np.minimum.accumulate(np.where(small, place, n - 1)[::-1])[::-1]
+    next_small = np.minimum.accumulate(np.where(small, place, last)[::-1])[::-1]
     wanted = np.zeros(n, bool)
     wanted[starts] = True
     # what a window's order is induced from: the suffixes up to the next one that is sorted directly
