@@ -23,8 +23,8 @@ select doc_id as ord, 'c' || cast(doc_id % 300 as string) as corpus_id,
 from documents"""
 CANDIDATES = """
 select 'u' || cast(l_orderkey as string) as utt_id, l_linenumber as cand_id,
-  case when l_partkey % 9 = 0 then null else cast(l_partkey % 11 as double) / 10 end as en_recall, l_quantity / 25 as nll, 2.5 + l_discount * 10 as utmos,
-  case when l_suppkey % 13 = 0 then null else 0.6 + l_tax end as secs, cast(l_partkey % 50 as double) / 10 as f0_std, cast(l_suppkey % 40 as double) as energy_dr,
+  case when l_partkey % 9 = 0 then null else cast(l_partkey % 11 as double) / 10 end as en_recall, l_quantity / 25 as nll, 2.5 + l_discount * 10.0007 as utmos,
+  case when l_suppkey % 13 = 0 then null else 0.6 + l_tax * 1.00011 end as secs, cast(l_partkey % 50 as double) / 10 * 1.00013 as f0_std, cast(l_suppkey % 40 as double) * 1.00017 as energy_dr,
   l_quantity / 5 as dur, cast(l_partkey % 100 as double) / 180 as silence_ratio, cast(l_suppkey % 10 as double) / 28 as ngram_rep, l_returnflag as voice
 from lineitem"""
 SCORES = """
