@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEVA = "[\\u0900-\\u097F\\uA8E0-\\uA8FF]"
+LATIN_WORD = r"^['\-]*[A-Za-z][A-Za-z'\-]*$"
+
+
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once; expressions with lambdas aren't recognised as common otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -15,7 +21,7 @@ def tokens(text: Column) -> Column:
 
 def language_tag(token: Column) -> Column:
     """hi, en or other, by script."""
-    return F.when(token.rlike(DEVA), "hi").when(token.rlike("[A-Za-z]") & token.rlike(r"^[A-Za-z'\-]+$"), "en").otherwise("other")
+    return F.when(token.rlike(DEVA), "hi").when(token.rlike(LATIN_WORD), "en").otherwise("other")
 
 
 def language_tags(text: Column) -> Column:
@@ -59,6 +65,25 @@ def mixing_bin(index: Column) -> Column:
     return F.when(index == 0, "none").when(index <= 0.2, "low").when(index <= 0.4, "med").otherwise("high")
 
 
+def language_string(text: Column) -> Column:
+    """One letter per hi or en token, h or e: everything about mixing follows from it by string functions.
+
+    Texts without any Devanagari skip the test for it on each token.
+    """
+    latin = lambda t: F.when(t.rlike(LATIN_WORD), "e").otherwise("")
+    both = lambda t: F.when(t.rlike(DEVA), "h").otherwise(latin(t))
+    words = tokens(text)
+    return F.when(text.rlike(DEVA), F.array_join(F.transform(words, both), "")).otherwise(F.array_join(F.transform(words, latin), ""))
+
+
+def mixing(letters: Column) -> tuple[Column, Column, Column]:
+    """Switches, their density, and the mixing index, from a language string."""
+    n, en = F.length(letters), F.length(F.translate(letters, "h", ""))
+    switches = F.greatest(F.length(single_runs(letters)) - 1, F.lit(0))
+    density = F.when(n < 2, F.lit(0.0)).otherwise(switches / F.greatest(n - 1, F.lit(1)))
+    return switches, density, F.when(n == 0, F.lit(0.0)).otherwise(F.least(en, n - en) / F.greatest(n, F.lit(1)))
+
+
 def english_bucket(n_words: Column) -> Column:
     return F.when(n_words >= 4, "high").when(n_words >= 2, "med").otherwise("low")
 
@@ -129,8 +154,8 @@ def ngrams(words: Column, n: int) -> Column:
 
 def ngram_repetition(words: Column, n: int) -> Column:
     """Share of n-grams beyond the first of their kind."""
-    grams = ngrams(words, n)
-    return F.when(F.size(words) < n, F.lit(0.0)).otherwise((F.size(grams) - F.size(F.array_distinct(grams))) / F.greatest(F.size(grams), F.lit(1)))
+    share = lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.greatest(F.size(g), F.lit(1))
+    return F.when(F.size(words) < n, F.lit(0.0)).otherwise(let(ngrams(words, n), share))
 
 
 def _runs_of(sorted_items: Column) -> Column:
@@ -151,15 +176,18 @@ def longest_run(items: Column) -> Column:
 
 def top_ngram_share(words: Column, n: int = 3) -> Column:
     """Share of the commonest n-gram; 0 for fewer than n + 1 words."""
-    grams = F.array_sort(ngrams(words, n))
-    return F.when(F.size(words) < n + 1, F.lit(0.0)).otherwise(_runs_of(grams) / F.greatest(F.size(grams), F.lit(1)))
+    share = lambda g: _runs_of(g) / F.greatest(F.size(g), F.lit(1))
+    return F.when(F.size(words) < n + 1, F.lit(0.0)).otherwise(let(F.sort_array(ngrams(words, n)), share))
 
 
 def degenerate(text: Column) -> Column:
     """too_short, token_repetition or the empty string."""
-    words = F.array_sort(F.transform(tokens(text), F.lower))
-    n = F.size(words)
-    return F.when(n < 5, "too_short").when(_runs_of(words) >= F.greatest(F.lit(4), F.floor(n / 2)), "token_repetition").otherwise("")
+
+    def reason(words: Column) -> Column:
+        n = F.size(words)
+        return F.when(n < 5, "too_short").when(_runs_of(words) >= F.greatest(F.lit(4), F.floor(n / 2)), "token_repetition").otherwise("")
+
+    return let(F.sort_array(tokens(F.lower(text))), reason)
 
 
 def shingles(text: Column, k: int = 5) -> Column:

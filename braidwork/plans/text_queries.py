@@ -43,15 +43,16 @@ def i18_switch_density(spark, sf):
 
 @query(f"{SEQ} select lang, {BIN} as cmi_bin, count(*) as n, round(avg(density)::double, 6) as density, round(avg(sw)::double, 6) as switches from r group by all")
 def tag_summary(spark, sf):
-    tags = C.language_tags(F.col("text"))
-    g = texts(spark, sf).select("lang", tags.alias("tags"))
-    g = g.select("lang", C.mixing_bin(C.mixing_index(F.col("tags"))).alias("cmi_bin"), C.switch_density(F.col("tags")).alias("d"), C.switch_points(F.col("tags")).alias("s"))
+    g = texts(spark, sf).select("lang", C.language_string(F.col("text")).alias("letters"))
+    switches, density, index = C.mixing(F.col("letters"))
+    g = g.select("lang", C.mixing_bin(index).alias("cmi_bin"), density.alias("d"), switches.alias("s"))
     return rounded(g.groupBy("lang", "cmi_bin").agg(F.count("*").alias("n"), F.avg("d").alias("density"), F.avg("s").alias("switches")))
 
 
 @query(f"{SEQ} select round(avg(sw)::double, 6) as switches from r")
 def e08_switch_points(spark, sf):
-    return rounded(texts(spark, sf).agg(F.avg(C.switch_points(C.language_tags(F.col("text")))).alias("switches")))
+    letters = texts(spark, sf).select(C.language_string(F.col("text")).alias("letters"))
+    return rounded(letters.agg(F.avg(C.mixing(F.col("letters"))[0]).alias("switches")))
 
 
 STOP_HI = ("hai", "main", "the", "of")
