@@ -85,10 +85,11 @@ def _sigmoid(x):
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> np.ndarray:
     """Weights of a ridge logistic model, by accelerated gradient steps; classes count alike."""
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
-    rate = 1 / (0.25 * (weight * (x * x).sum(1)).sum() + ridge)
+    rate = 1 / (0.25 * (weight * np.einsum("ij,ij->i", x, x)).sum() + ridge)
     w = ahead = np.zeros(x.shape[1])
-    for i in range(steps):
-        slope = x.T @ (weight * (_sigmoid(x @ ahead) - y)) + ridge * ahead
+    for i in range(steps):  # products in the features' own precision: no copy of them is made
+        error = weight * (_sigmoid(x @ ahead.astype(x.dtype)) - y)
+        slope = x.T @ error.astype(x.dtype) + ridge * ahead
         new = ahead - rate * slope
         ahead = new + i / (i + 3) * (new - w)
         w = new
