@@ -21,6 +21,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from braidwork.llm.scratch import small_batches
+
 
 @dataclass(frozen=True)
 class Bands:
@@ -110,6 +112,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
     """One row per document: the base measures, the ratios and the verdict. No shuffle."""
+    small_batches(docs.sparkSession)
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -126,6 +129,7 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The documents that pass, with all their columns."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm.scratch import small_batches
+
 TRIGRAMS, SHAPES = 1024, 8
 SOURCES, LANGS, SIZES = 64, 16, 24
 TEXT_DIMS, META_DIMS = TRIGRAMS + SHAPES + 1, SOURCES + LANGS + SIZES + 1
@@ -178,6 +180,7 @@ def _features(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", plan: Plan = Plan()) -> Model | None:
     """The model, from a bounded sample of labelled and unlabelled documents."""
+    small_batches(docs.sparkSession)
     by_hash = F.xxhash64(F.lit(41), "_id")
     ids = docs.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.least(F.lit(1), F.min("_label")).alias("_label"))
@@ -196,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = 0.5) -> DataFrame:
     """One row per document: both views' calibrated scores, the combined one, and whether it is kept."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

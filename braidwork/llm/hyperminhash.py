@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from braidwork.llm.columns import sieve, text_tag
 from braidwork.llm.components import components
 from braidwork.llm.grouped import runs
-from braidwork.llm.scratch import Scratch
+from braidwork.llm.scratch import Scratch, small_batches
 
 REGISTERS, MANTISSA, BAND = 128, 10, 5
 BANDS = REGISTERS // BAND
@@ -342,6 +342,7 @@ def near_duplicates(
     spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", largest: int = LARGEST, heaviest: int = HEAVIEST
 ) -> DataFrame:
     """One row per document: text_tag, n_shingles, component_id (least id reachable) and kept."""
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     own = docs.select(F.col(id_col).cast("long").alias("_id"), text_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
     sketched = scratch.keep(_sketches(own, k, percent))

@@ -22,6 +22,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from braidwork.llm.scratch import small_batches
+
 UNKNOWN = "application/octet-stream"
 
 
@@ -240,6 +242,7 @@ def wav_samples(blob: bytes) -> bytes:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, declared, media): each text as a media file under the type its table declares, text/plain."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +259,7 @@ def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     `feature` is "true type<declared type;file bytes;carved type@offset+length,...".
     """
+    small_batches(media.sparkSession)
     kind = dict(media.dtypes)[id_col]
     out = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_embedded int"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]

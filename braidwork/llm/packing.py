@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.columns import running
-from braidwork.llm.scratch import Scratch
+from braidwork.llm.scratch import Scratch, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -69,6 +69,7 @@ def encoder(path: str):
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the token pieces of every document. No shuffle."""
+    small_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     kind = dict(docs.dtypes)[id_col]
 

@@ -53,3 +53,16 @@ class Scratch:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of Arrow batches to and from Python, so that long texts don't fill a worker.
+
+    A session that has set a smaller bound keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "").lower().strip()
+    unit = {"k": 10, "m": 20, "g": 30}.get(held.rstrip("b")[-1:], 0)
+    digits = "".join(c for c in held if c.isdigit())
+    if not digits or int(digits) << unit > most:
+        spark.conf.set(name, f"{most}b")

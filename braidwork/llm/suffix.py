@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.columns import text_tag
 from braidwork.llm.grouped import runs
-from braidwork.llm.scratch import Scratch
+from braidwork.llm.scratch import Scratch, small_batches
 
 WIDTH = 400
 GRAM = 16
@@ -255,6 +255,7 @@ def _cut(batches: Iterator[pa.RecordBatch], id_col: str, width: int) -> Iterator
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
     """(_id, _tag, spans): for each document with repeated windows, bounds a, b of runs of window starts, flat."""
+    small_batches(spark)
     scratch = Scratch(spark, "suffix")
     own = docs.select(F.col(id_col).alias("_id"), text_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
     listed = scratch.keep(_list_segments(own, width))
