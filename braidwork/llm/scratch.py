@@ -61,7 +61,7 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     A session that has set a smaller bound keeps it.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, "").lower().strip()
+    held = spark.conf.get(name).lower().strip()
     unit = {"k": 10, "m": 20, "g": 30}.get(held.rstrip("b")[-1:], 0)
     digits = "".join(c for c in held if c.isdigit())
     if not digits or int(digits) << unit > most:
