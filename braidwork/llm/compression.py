@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from braidwork.llm.grouped import released
 from braidwork.llm.scratch import small_batches
 
 
@@ -116,6 +117,7 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
+    @released
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(bands)
         for batch in batches:
@@ -132,6 +134,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -
     small_batches(docs.sparkSession)
     schema = docs.schema
 
+    @released
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(bands)
         at = schema.names.index(text_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,3 +36,19 @@ def runs(batches: Iterable[pa.RecordBatch], n_keys: int, least_bytes: int = 0) -
         size += (batch.num_rows - at) * weight
     if held:
         yield pa.Table.from_batches(held)
+
+
+def released(work):
+    """An Arrow function that hands its memory back when it ends: workers are reused and would keep it while idle."""
+
+    @functools.wraps(work)
+    def run(batches, *more):
+        try:
+            yield from work(batches, *more)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.columns import sieve, text_tag
 from braidwork.llm.components import components
-from braidwork.llm.grouped import runs
+from braidwork.llm.grouped import released, runs
 from braidwork.llm.scratch import Scratch, small_batches
 
 REGISTERS, MANTISSA, BAND = 128, 10, 5
@@ -270,6 +270,7 @@ def _sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["_id"]
 
+    @released
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, first, second = [], [], []
@@ -299,6 +300,7 @@ def _groups(table: pa.Table, n_keys: int) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:], strict=False)
 
 
+@released
 def _tie_sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, i, j, node, n, regs) in order of the first three, to ties (a, b) worth verifying."""
     for table in runs(batches, 3, 1 << 20):
@@ -315,6 +317,7 @@ def _tie_sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
 
+@released
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (root, i, j, node, _text) in order of the first three, to verified ties (a, b)."""
     for table in runs(batches, 3, 1 << 20):

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.columns import running
+from braidwork.llm.grouped import released
 from braidwork.llm.scratch import Scratch, small_batches
 
 CAPACITY = 1024
@@ -73,6 +74,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     path = vocabulary or default_vocabulary()
     kind = dict(docs.dtypes)[id_col]
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         for batch in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.columns import text_tag
-from braidwork.llm.grouped import runs
+from braidwork.llm.grouped import released, runs
 from braidwork.llm.scratch import Scratch, small_batches
 
 WIDTH = 400
@@ -188,6 +188,7 @@ def _ranges(mask: np.ndarray) -> list[int]:
 def _list_segments(docs: DataFrame, width: int) -> DataFrame:
     kind = dict(docs.dtypes)["_id"]
 
+    @released
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -208,6 +209,7 @@ def _list_segments(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(listed, f"_id {kind}, _tag long, pos long, n int, mini long, c1 long, c2 long")
 
 
+@released
 def _sort_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows (mini, c1, c2, copies, part), whole buckets together, to the repeated windows of each part."""
     for table in runs(batches, 1, BATCH):
@@ -219,6 +221,7 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield from out.combine_chunks().to_batches()
 
 
+@released
 def _hash_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -230,6 +233,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["mini", "c1", "c2", "copies", "at", "w1", "w2"])
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch], id_col: str, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
