@@ -142,8 +142,11 @@ def tolerant_member(word: Column, heard: Column) -> Column:
 
 
 def english_recall(intended: Column, heard: Column) -> Column:
-    """Share of the intended words heard; null where none is intended."""
-    return F.try_divide(F.size(F.filter(intended, lambda w: tolerant_member(w, heard))), F.size(intended))
+    """Share of the intended words heard; null where none is intended. Each different word is looked up once."""
+    near = let(F.array_distinct(heard), lambda h: F.filter(F.array_except(intended, h), lambda w: tolerant_member(w, h)))
+    known = F.concat(F.array_intersect(intended, heard), near)
+    hits = let(known, lambda k: F.size(F.filter(intended, lambda w: F.array_contains(k, w))))
+    return F.try_divide(hits, F.size(intended))
 
 
 def ngrams(words: Column, n: int) -> Column:

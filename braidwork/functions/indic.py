@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import re
 import unicodedata
 from collections.abc import Callable
@@ -76,6 +77,7 @@ def compare_space(text: str | None) -> str:
     return " ".join(single_runs(w.replace("w", "v")) for w in re.sub(r"[^\w\s]", " ", spelled).split())
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def phonetic(word: str) -> str:
     """A word with predictable differences between English and Hindi spelling folded."""
     folded = re.sub("c(?=[eiy])", "s", word.lower().replace("w", "v"))
@@ -83,6 +85,7 @@ def phonetic(word: str) -> str:
     return single_runs(folded)
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def skeleton(word: str) -> str:
     return re.sub("[aeiou]+", "", phonetic(word))
 
@@ -110,12 +113,18 @@ def closeness(a: str, b: str) -> float:
     return 1 - distance(a, b) / max(len(a), len(b), 1)
 
 
+def _near(a: str, b: str, least: float) -> bool:
+    """Whether two words are at least so close; lengths alone settle most pairs."""
+    return 1 - abs(len(a) - len(b)) / max(len(a), len(b), 1) >= least and closeness(a, b) >= least
+
+
+@functools.lru_cache(maxsize=1 << 17)
 def same_word(a: str, b: str, least: float = 0.8) -> bool:
     """Whether two compare-space words agree plainly, phonetically or by their consonants."""
-    if a == b or closeness(a, b) >= least or closeness(phonetic(a), phonetic(b)) >= least:
+    if a == b or _near(a, b, least) or _near(phonetic(a), phonetic(b), least):
         return True
     x, y = skeleton(a), skeleton(b)
-    return min(len(x), len(y)) > 1 and closeness(x, y) >= least
+    return min(len(x), len(y)) > 1 and _near(x, y, least)
 
 
 def looks_english(word: str) -> bool:

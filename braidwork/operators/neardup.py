@@ -39,13 +39,12 @@ def signed(df: DataFrame, text: str, perms: int = 64, k: int = 5) -> DataFrame:
 
 def word_signed(df: DataFrame, words, perms: int = 16) -> DataFrame:
     """Column `sig` in the JVM: minima of salted MD5 over distinct three-word shingles."""
-    grams = F.array_distinct(C.ngrams(words, 3))
 
-    def least(p: int):
+    def least(grams, p: int):
         salted = F.transform(grams, lambda g: F.left(F.md5(F.concat(F.lit(f"{p}:"), g)), F.lit(16)))
         return F.coalesce(F.array_min(salted), F.lit(""))
 
-    return df.withColumn("sig", F.array(*map(least, range(perms))))
+    return df.withColumn("sig", C.let(F.array_distinct(C.ngrams(words, 3)), lambda grams: F.array(*[least(grams, p) for p in range(perms)])))
 
 
 def matches(df: DataFrame, order: str, threshold: float = 0.85) -> DataFrame:

@@ -72,10 +72,10 @@ def e12_e21_scorable_mean(spark, sf):
     return rounded(clips(spark, sf).groupBy("domain").agg(F.avg(F.when(F.col("hyp").isNotNull(), F.col("recall"))).alias("accent"), F.count("hyp").alias("n")))
 
 
-@query("with c as (select c_nationkey as g, c_mktsegment as v, sum(cast(c_acctbal as bigint) % 7 + 1)::bigint as weight, min(c_custkey) as o from customer where c_acctbal > 0 group by all), r as (select *, row_number() over (partition by g order by weight desc, o) as rn from c) select g as c_nationkey, v as c_mktsegment, weight from r where rn = 1".replace("cast(c_acctbal as bigint)", "cast(floor(c_acctbal) as bigint)"))
+@query("with c as (select c_nationkey as g, c_mktsegment as v, sum(cast(c_acctbal as bigint) % 7 + 1)::bigint as weight, min(c_custkey) as o from customer group by all), r as (select *, row_number() over (partition by g order by weight desc, o) as rn from c) select g as c_nationkey, v as c_mktsegment, weight from r where rn = 1".replace("cast(c_acctbal as bigint)", "cast(floor(abs(c_acctbal)) as bigint)"))
 def e36_commonest_value(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 0")
-    return measuring.commonest(c, ["c_nationkey"], "c_mktsegment", F.floor("c_acctbal") % 7 + 1, F.col("c_custkey"))
+    c = table(spark, sf, "customer")
+    return measuring.commonest(c, ["c_nationkey"], "c_mktsegment", F.floor(F.abs("c_acctbal")) % 7 + 1, F.col("c_custkey"))
 
 
 @query("select word, count(*) as n from (select unnest(string_split(p_name, ' ')) as word from part) group by 1 having count(*) >= 2")
@@ -127,7 +127,7 @@ def e25_e30_certification(spark, sf):
 
 @query()
 def e23_e31_intervals(spark, sf):
-    p = joining.paired(scores(spark, sf), "ref", "cand").where("hash(utt_id) % 20 = 0")
+    p = joining.paired(scores(spark, sf), "ref", "cand")
     return rounded(statistics.intervals(p, draws=500))
 
 

@@ -138,9 +138,9 @@ def d09_semi_join(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("with p as (select p_partkey, p_name, [p_type, p_brand] as chunks from part where p_size < 10) select v.v as voice, s.s as speed, count(*) as clips, sum(len(chunks))::bigint as chunks, sum(length(chunks[1]) + length(chunks[2]))::bigint as chars from p, (values ('maya'), ('arjun')) v(v), (values (0.9::double), (1.0), (1.1)) s(s), (values (null), ('hot')) t(t) where length(trim(p_name)) > 0 group by all")
+@query("with p as (select p_partkey, p_name, [p_type, p_brand] as chunks from part) select v.v as voice, s.s as speed, count(*) as clips, sum(len(chunks))::bigint as chunks, sum(length(chunks[1]) + length(chunks[2]))::bigint as chars from p, (values ('maya'), ('arjun')) v(v), (values (0.9::double), (1.0), (1.1)) s(s), (values (null), ('hot')) t(t) where length(trim(p_name)) > 0 group by all")
 def d10_e18_plan_expansion(spark, sf):
-    p = table(spark, sf, "part").where("p_size < 10").select("p_partkey", F.col("p_name").alias("text"), F.array("p_type", "p_brand").alias("chunks"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"), F.array("p_type", "p_brand").alias("chunks"))
     plan = joining.expanded(p, ["maya", "arjun"], [0.9, 1.0, 1.1], [None, "none", "hot"])
     size = F.aggregate(F.transform("chunks", F.length), F.lit(0), lambda s, x: s + x)
     return plan.groupBy("voice", "speed").agg(F.count("*").alias("clips"), F.sum(F.size("chunks")).alias("chunks"), F.sum(size).alias("chars"))
@@ -186,11 +186,11 @@ def a20_buffer_slice(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 9, 8).alias("part"))
 
 
-@query("select text, 'documents' as origin, source as domain from documents where length(trim(text)) > 0 union all select text, 'benchmark', null from benchmark union all (select text, 'conversations', role from conversations where turn = 0)")
+@query("select text, 'documents' as origin, source as domain from documents where length(trim(text)) > 0 union all select text, 'benchmark', null from benchmark union all (select text, 'conversations', role from conversations)")
 def a07_a24_h01_union(spark, sf):
     a = table(spark, sf, "documents").where("length(trim(text)) > 0").select("text", F.lit("documents").alias("origin"), F.col("source").alias("domain"))
     b = table(spark, sf, "benchmark").select("text", F.lit("benchmark").alias("origin"))
-    c = table(spark, sf, "conversations").where("turn = 0").select("text", F.lit("conversations").alias("origin"), F.col("role").alias("domain"))
+    c = table(spark, sf, "conversations").select("text", F.lit("conversations").alias("origin"), F.col("role").alias("domain"))
     return a.unionByName(b, allowMissingColumns=True).unionByName(c)
 
 

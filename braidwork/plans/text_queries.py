@@ -9,7 +9,7 @@ from braidwork.functions import udfs
 from braidwork.operators import measuring, neardup
 from braidwork.plans.catalog import query, rounded
 from braidwork.plans.inputs import TEXTS, texts
-from braidwork.session import table
+from braidwork.session import spread, table
 
 TOK = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 TAG = r"case when regexp_matches(x, '[\x{0900}-\x{097F}]') then 'hi' when regexp_matches(x, '^[A-Za-z''\-]*[A-Za-z][A-Za-z''\-]*$') then 'en' else 'other' end"
@@ -125,16 +125,17 @@ def i29_english_words(spark, sf):
     return d.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join("e", " ").cast("binary")).alias("words"))
 
 
-PAIRED = f"with d as (select doc_id, {ENG_DOC} as e from documents where lang = 'en' and n_chars < 600), p as (select a.doc_id, list_slice(a.e, 1, 20) as x, list_slice(b.e, 1, 40) as y from d a join d b on b.doc_id = a.doc_id + 1)"
+PAIRED = f"with d as (select doc_id, {ENG_DOC} as e from documents), p as (select a.doc_id, a.e as x, list_distinct(b.e) as y from d a join d b on b.doc_id = a.doc_id + 1), k as (select doc_id, x, list_filter(list_distinct(x), lambda w: len(list_filter(y, lambda h: h = w or (abs(length(h) - length(w)) <= 2 and levenshtein(w, h) <= greatest(1, length(w) // 4)))) > 0) as known from p)"
 
 
 def _paired(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en' and n_chars < 600").select("doc_id", C.english_words(F.col("text"), STOP).alias("e"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.slice("e", 1, 40).alias("y"))
-    return d.select("doc_id", F.slice("e", 1, 20).alias("x")).join(b, "doc_id")
+    docs = table(spark, sf, "documents")
+    d = spread(docs).select("doc_id", C.english_words(F.col("text"), STOP).alias("e"))
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("e").alias("y"))
+    return d.select("doc_id", F.col("e").alias("x")).join(b, "doc_id").transform(spread, docs)
 
 
-@query(f"{PAIRED} select doc_id, round(case when len(x) = 0 then null else len(list_filter(x, lambda w: len(list_filter(y, lambda h: h = w or (abs(length(h) - length(w)) <= 2 and levenshtein(w, h) <= greatest(1, length(w) // 4)))) > 0)) / len(x) end, 6) as recall from p")
+@query(f"{PAIRED} select doc_id, round(case when len(x) = 0 then null else len(list_filter(x, lambda w: list_contains(known, w))) / len(x) end, 6) as recall from k")
 def i30_i31_english_recall(spark, sf):
     return rounded(_paired(spark, sf).select("doc_id", C.english_recall(F.col("x"), F.col("y")).alias("recall")))
 
@@ -157,9 +158,9 @@ def c07_degenerate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.degenerate(F.col("text")).alias("reason"))
 
 
-@query("with s as (select conv_id, replace(text, ' ', '') as s from conversations where turn = 0) select conv_id, case when length(s) = 0 then 0 when length(s) < 5 then 1 else len(list_distinct(list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)))) end as n from s")
+@query("with s as (select conv_id, turn, replace(text, ' ', '') as s from conversations) select conv_id, turn, case when length(s) = 0 then 0 when length(s) < 5 then 1 else len(list_distinct(list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)))) end as n from s")
 def i21_char_shingles(spark, sf):
-    return table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.size(C.shingles(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(C.shingles(F.col("text"))).cast("long").alias("n"))
 
 
 @query(f"select doc_id, 'c' || left(sha1(array_to_string({TOK}, ' ')), 8) as corpus_id, 'c' || left(sha1(array_to_string({TOK}, ' ')), 8) || '__maya__sp' || cast(10 + doc_id % 5 as string) || '__t' || case when doc_id % 2 = 0 then 'x' else 'hot' end || '__v0' as utt_id from documents")
@@ -180,11 +181,18 @@ def i38_speech_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.speech_text(F.col("text")).alias("speech"))
 
 
-COMPARE = f"with d as (select doc_id, lang, {TOK} as w from documents where not regexp_matches(text, '[0-9]')), c as (select doc_id, lang, lower(array_to_string(list_transform(w, lambda w: case when length(w) > 2 and w like '%a' and length(regexp_replace(w, '[^aeiou]', '', 'g')) >= 2 then left(w, length(w) - 1) else w end), ' ')) as s from d), n as (select doc_id, lang, unnest(list_filter(string_split_regex(regexp_replace(strip_accents(s), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) as w from c), f as (select doc_id, lang, {_fold_sql("translate(w, 'w', 'v')", 'abcdefghijklmnopqrstuvwxyzß_')} as w from n)"
+def _numbers_sql(col: str) -> str:
+    """Runs of digits from 0 to 10 spelled; twice, as neighbours share what stands between them."""
+    for n, word in enumerate(["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"] * 2):
+        col = f"regexp_replace({col}, '(^|[^0-9]){n % 11}($|[^0-9])', '\\1{word}\\2', 'g')"
+    return col
+
+
+COMPARE = f"with d as (select doc_id, lang, {TOK} as w from documents), c as (select doc_id, lang, lower(array_to_string(list_transform(w, lambda w: case when length(w) > 2 and w like '%a' and length(regexp_replace(w, '[^aeiou]', '', 'g')) >= 2 then left(w, length(w) - 1) else w end), ' ')) as s from d), n as (select doc_id, lang, unnest(list_filter(string_split_regex(regexp_replace({_numbers_sql('strip_accents(s)')}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) as w from c), f as (select doc_id, lang, {_fold_sql("translate(w, 'w', 'v')", 'abcdefghijklmnopqrstuvwxyzß_0123456789')} as w from n)"
 
 
 def _compared(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike("[0-9]"))
+    d = spread(table(spark, sf, "documents"))
     return d.select("doc_id", "lang", F.explode(F.split(udfs.compare_space("text"), " ")).alias("w")).where("w <> ''")
 
 
@@ -215,56 +223,60 @@ def f14_longest_run(spark, sf):
     return t.select("conv_id", C.longest_run(F.col("r")).cast("long").alias("longest"))
 
 
-@query("with a as (select conv_id, turn, lower(text) as a, lower(lead(text) over (partition by conv_id order by turn)) as b from conversations where regexp_matches(text, '^[\\x20-\\x7e]*$') and length(text) < 200), p as (select * from a where b is not null) select conv_id, turn, round((1 - levenshtein(a, b) / greatest(length(a), length(b), 1))::double, 6) as closeness from p")
-def i14_turn_closeness(spark, sf):
-    from pyspark.sql import Window
+def _next_turns(spark, sf):
+    """(conv_id, turn, a, b): a turn's text and the next one's; joined, so that no task sees a whole conversation."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.col("text").alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"]).transform(spread, c)
+
 
-    c = table(spark, sf, "conversations").where(F.col("text").rlike(r"^[\x20-\x7e]*$") & (F.length("text") < 200))
-    p = c.select("conv_id", "turn", F.lower("text").alias("a"), F.lead(F.lower("text")).over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b is not null")
+@query("with c as (select conv_id, turn, lower(regexp_replace(text, '[^\\x20-\\x7e]', '?', 'g')) as t from conversations), p as (select a.conv_id, a.turn, a.t as a, b.t as b from c a join c b on a.conv_id = b.conv_id and b.turn = a.turn + 1) select conv_id, turn, round((1 - levenshtein(a, b) / greatest(length(a), length(b), 1))::double, 6) as closeness from p")
+def i14_turn_closeness(spark, sf):
+    # characters outside ASCII compare as ?, since the twin's distance counts bytes
+    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\x20-\x7e]", "?"))
+    p = _next_turns(spark, sf).select("conv_id", "turn", plain("a").alias("a"), plain("b").alias("b"))
     return rounded(p.select("conv_id", "turn", C.closeness(F.col("a"), F.col("b")).alias("closeness")))
 
 
-@query("select conv_id, turn, 1.0::double as recall, 0.0::double as cer, 0.0::double as wer, 1.0::double as similarity from conversations where length(trim(text)) > 0 and turn < 2")
+@query("select conv_id, turn, 1.0::double as recall, 0.0::double as cer, 0.0::double as wer, 1.0::double as similarity from conversations where length(trim(text)) > 0")
 def i11_self_hypothesis(spark, sf):
-    t = table(spark, sf, "conversations").where("length(trim(text)) > 0 and turn < 2")
+    t = table(spark, sf, "conversations").where("length(trim(text)) > 0")
     return t.select("conv_id", "turn", udfs.recall("text", "text").alias("recall"), udfs.cer("text", "text").alias("cer"), udfs.wer("text", "text").alias("wer"), udfs.similarity("text", "text").alias("similarity"))
 
 
 @query()
 def b03_pair_scores(spark, sf):
-    c = table(spark, sf, "conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    return rounded(c.select("conv_id", udfs.recall("a", "b").alias("recall"), udfs.cer("a", "b").alias("cer"), udfs.wer("a", "b").alias("wer"), udfs.cer_spaced("a", "b").alias("cer_spaced")), 4)
+    return rounded(_next_turns(spark, sf).select("conv_id", "turn", udfs.recall("a", "b").alias("recall"), udfs.cer("a", "b").alias("cer"), udfs.wer("a", "b").alias("wer"), udfs.cer_spaced("a", "b").alias("cer_spaced")), 4)
 
 
 @query()
 def i32_clause_chunks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(udfs.clauses("text")).alias("pos", "chunk"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(udfs.clauses("text")).alias("pos", "chunk"))
 
 
 @query()
 def i33_sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(udfs.sentences("text")).alias("pos", "sentence"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(udfs.sentences("text")).alias("pos", "sentence"))
 
 
 @query()
 def i34_token_chunks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(udfs.token_chunks(40)("text")).alias("pos", "chunk"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(udfs.token_chunks(40)("text")).alias("pos", "chunk"))
 
 
 @query()
 def i01_romanise(spark, sf):
-    return texts(spark, sf).where("source = 'fix'").select("doc_id", udfs.romanise("text").alias("latin"), udfs.compare_space("text").alias("compared"))
+    return spread(texts(spark, sf)).select("doc_id", udfs.romanise("text").alias("latin"), udfs.compare_space("text").alias("compared"))
 
 
 @query()
 def i37_mixed_normaliser(spark, sf):
     norm = udfs.mixed_normaliser({"hai": "है", "mera": "मेरा"}, {"delhi": "दिल्ली"}, {"main": "मैं", "the": "थे", "to": "तो"}, {"only", "english", "here", "going", "and", "of"}, {"naam": "नाम"})
-    return texts(spark, sf).where("doc_id >= 900000 or length(text) < 400").select("doc_id", norm("text").alias("n")).select("doc_id", "n.out", F.size("n.spans").alias("n_spans"))
+    return spread(texts(spark, sf)).select("doc_id", norm("text").alias("n")).select("doc_id", "n.out", F.size("n.spans").alias("n_spans"))
 
 
 @query()
 def c04_c06_clean_gate(spark, sf):
-    t = texts(spark, sf)
+    t = spread(texts(spark, sf))
     return t.select("doc_id", udfs.clean("text").alias("clean"), udfs.repair("text").alias("repaired")).select("doc_id", F.col("clean").isNotNull().alias("passes"), F.length("repaired").alias("n_repaired"))
 
 
@@ -272,7 +284,7 @@ SIG = "list_transform(range(0, 16), lambda p: coalesce(list_min(list_transform(g
 
 
 @query(
-    f"""with recursive d as (select doc_id, {TOK} as w from documents where n_chars < 1200), g as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), chr(31)))) as g from d),
+    f"""with recursive d as (select doc_id, {TOK} as w from documents), g as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), chr(31)))) as g from d),
     s as (select doc_id, {SIG} as s from g), o as (select min(doc_id) as doc_id, s from s group by s),
     e as (select a.doc_id as a, b.doc_id as b from o a join o b on a.doc_id < b.doc_id where len(list_filter(range(1, 17), lambda i: a.s[i] = b.s[i])) >= 0.85 * 16),
     r as (select 0 as k, doc_id as i, []::bigint[] as kept from (select min(doc_id) - 1 as doc_id from o) union all
@@ -281,6 +293,6 @@ SIG = "list_transform(range(0, 16), lambda p: coalesce(list_min(list_transform(g
     select unnest(kept) as doc_id from (select kept from r order by k desc limit 1)"""
 )
 def d11_near_duplicates(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 1200")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     signed = neardup.word_signed(d.select("doc_id", C.tokens(F.col("text")).alias("w")), F.col("w"), 16).select("doc_id", "sig")
     return neardup.kept(signed, "doc_id", 0.85).select("doc_id")

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "braidwork", cpus: int | None = None, shuffle: int = 8) -> SparkSession:
@@ -26,6 +26,16 @@ def local_session(app: str = "braidwork", cpus: int | None = None, shuffle: int
     )
 
 
+def spread(df: DataFrame, source: DataFrame | None = None, least: int = 64 << 20) -> DataFrame:
+    """Rows dealt over all cores where `source` (`df` if None) is under `least` bytes a core, else `df` as it is.
+
+    One small file is one task, however long its rows take; large inputs fill the cores and aren't shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str((source or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < least * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

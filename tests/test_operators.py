@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from braidwork.functions import columns
 from braidwork.operators import choosing, joining, measuring, neardup, ranking, statistics
+from braidwork.session import spread
 from braidwork.sources import manifest, waves
 from braidwork.streaming import incremental
 
@@ -208,3 +210,26 @@ def test_holm_stops(spark):
     assert {r["axis"]: r["rejected"] for r in measuring.holm(axes, 0.05).collect()} == {"a": True, "b": True, "c": True}
     axes = spark.createDataFrame([("a", 0.01), ("b", 0.03), ("c", 0.03)], "axis string, p double")
     assert {r["axis"]: r["rejected"] for r in measuring.holm(axes, 0.05).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_resamples_do_not_depend_on_blocks():
+    d = np.arange(7.0)
+    whole = d[np.random.default_rng(3).integers(0, 7, size=(50, 7))].mean(axis=1)
+    assert np.array_equal(statistics.resampled(d, 50, 3), whole)
+    assert np.array_equal(statistics.resampled(d, 50, 3, cells=20), whole)
+
+
+def test_spread_deals_small_inputs_only(spark):
+    small = spark.range(100, numPartitions=1)
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(small, least=1).rdd.getNumPartitions() == 1
+    assert spread(small, spark.range(1 << 40)).rdd.getNumPartitions() == 1
+    assert sorted(r[0] for r in spread(small).collect()) == list(range(100))
+
+
+def test_near_duplicates_of_whole_texts_keep_word_order_of_shingles(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, long), (2, long), (3, long + " end"), (4, "a b"), (5, ""), (6, " ".join(reversed(long.split())))]
+    df = spark.createDataFrame(rows, "i long, t string").withColumn("w", columns.tokens(F.col("t")))
+    kept = neardup.kept(neardup.word_signed(df, F.col("w"), 16).select("i", "sig"), "i", 0.85)
+    assert sorted(r["i"] for r in kept.collect()) == [1, 4, 6]

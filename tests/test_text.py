@@ -107,3 +107,21 @@ def test_udfs_take_nulls(spark):
     rows = df.select(udfs.recall("a", "b").alias("r"), udfs.cer("a", "b").alias("c"), udfs.clean("a").alias("k"), udfs.clauses("a").alias("l"), udfs.recall_tagged("a", "b", F.array(F.lit("hi"), F.lit("en"))).alias("t")).collect()
     assert rows[0]["r"] == 1.0 and rows[1]["r"] == 1.0 and rows[2]["r"] == 0.0 and rows[1]["k"] is None and rows[2]["l"] == []
     assert json.dumps(rows[0]["t"]) == "1.0"
+
+
+def test_english_recall_looks_each_word_up_once(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    rows = [(i, [word() for _ in range(rng.randrange(12))], [word() for _ in range(rng.randrange(12))]) for i in range(60)] + [(60, [], ["a"]), (61, ["a", "a", "zz"], []), (62, ["abcd", "abcd", "q"], ["abce"])]
+    heard = lambda w, y: any(w == h or abs(len(w) - len(h)) <= 2 and indic.distance(w, h) <= max(1, len(w) // 4) for h in y)
+    want = {i: sum(heard(w, y) for w in x) / len(x) if x else None for i, x, y in rows}
+    df = spark.createDataFrame(rows, "i long, x array<string>, y array<string>")
+    got = {r["i"]: r["r"] for r in df.select("i", C.english_recall(F.col("x"), F.col("y")).alias("r")).collect()}
+    assert got == want
+
+
+def test_lengths_settle_only_what_distances_would():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
+        assert indic._near(a, b, 0.8) == (indic.closeness(a, b) >= 0.8)
