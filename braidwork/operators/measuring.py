@@ -83,3 +83,22 @@ def holm(axes: DataFrame, alpha: float, p: str = "p") -> DataFrame:
     order = Window.orderBy(p, "axis")
     rows = axes.withColumn("rank", F.row_number().over(order)).withColumn("threshold", F.lit(alpha) / (F.count("*").over(Window.partitionBy()) - F.col("rank") + 1))
     return rows.withColumn("rejected", F.min((F.col(p) <= F.col("threshold")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+
+
+def benjamini_hochberg(df: DataFrame, q: float = 0.10) -> DataFrame:
+    """(axis, p, rank, threshold, flagged) under a false discovery rate; a handful of slices, so one window."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy("p", "axis"))).withColumn("threshold", q * F.col("rank") / F.count("*").over(Window.partitionBy()))
+    later = Window.orderBy("rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return ranked.withColumn("flagged", F.max(F.col("p") <= F.col("threshold")).over(later))
+
+
+def variance_parts(df: DataFrame, axis: str, unit: str, value: str) -> DataFrame:
+    """(axis, between, within, icc): one-way random effects of units with repeated scores; two aggregations, no group held."""
+    v = F.col(value).cast("double")
+    per = df.where(F.col(value).isNotNull()).groupBy(axis, unit).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    t = per.groupBy(axis).agg(F.count("*").alias("a"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
+    t = t.withColumn("within", F.try_divide(F.col("Q") - F.col("B"), F.col("N") - F.col("a")))
+    msb = F.try_divide(F.col("B") - F.col("S") * F.col("S") / F.col("N"), F.col("a") - 1)
+    n0 = F.try_divide(F.col("N") - F.col("n2") / F.col("N"), F.col("a") - 1)
+    t = t.withColumn("between", F.greatest(F.lit(0.0), F.try_divide(msb - F.col("within"), n0)))
+    return t.select(axis, "between", "within", F.try_divide("between", F.col("between") + F.col("within")).alias("icc"))

@@ -130,6 +130,15 @@ def round_robin(df: DataFrame, group: str, order: list[str], total: int) -> Data
     return ranked.orderBy("__n", group).limit(total).drop("__n")
 
 
+def dealt(df: DataFrame, order: list[str], n: int, group: str | None = None) -> DataFrame:
+    """Column `shard`: rows in turn, or groups in turn by their first row in order, each group whole."""
+    if group is None:
+        return running(df, [], order, "__n").withColumn("shard", F.col("__n") % n).drop("__n")
+    firsts = df.groupBy(F.col(group).alias("__g")).agg(F.min(F.struct(*order)).alias("__first"))
+    turns = running(firsts, [], ["__first"], "__n").select("__g", (F.col("__n") % n).alias("shard"))
+    return df.join(turns, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
 def split_groups(df: DataFrame, group: str, share: float, seed: int = 7) -> DataFrame:
     """Column `partition`: a share of the groups to dev, whole groups only, by a seeded hash of the group."""
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(1_000_000))

@@ -170,3 +170,14 @@ def x02_revenue_by_nation(spark, sf):
     li, o, c, n = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
     j = li.join(o.where("o_orderdate >= timestamp_ntz'1995-01-01'"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return rounded(j.groupBy("n_name").agg(F.count("*").alias("orders"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue")), 2)
+
+
+@query("with a as (select event_type as axis, (count(*) % 37) / 370.0 as p from events group by 1), t as (select axis, p, row_number() over (order by p, axis) as rank, 0.1 * row_number() over (order by p, axis) / count(*) over () as threshold from a) select axis, round(p, 6)::double as p, rank, round(threshold, 6)::double as threshold, rank <= coalesce((select max(rank) from t where p <= threshold), 0) as flagged from t")
+def e45_false_discoveries(spark, sf):
+    a = table(spark, sf, "events").groupBy(F.col("event_type").alias("axis")).agg((F.count("*") % 37 / 370.0).alias("p"))
+    return rounded(measuring.benjamini_hochberg(a, 0.10))
+
+
+@query("with p as (select l_returnflag, l_orderkey, count(*) as n, sum(l_quantity) as s, sum(l_quantity * l_quantity) as q from lineitem group by all), t as (select l_returnflag, count(*) as a, sum(n) as m, sum(n * n) as n2, sum(s) as st, sum(q) as qt, sum(s * s / n) as b from p group by 1), v as (select *, (qt - b) / (m - a) as w from t), u as (select l_returnflag, w, greatest(0, ((b - st * st / m) / (a - 1) - w) / ((m - n2 / m) / (a - 1))) as bt from v) select l_returnflag, round(bt, 6)::double as \"between\", round(w, 6)::double as within, round(bt / (bt + w), 6)::double as icc from u")
+def e45_variance_parts(spark, sf):
+    return rounded(measuring.variance_parts(table(spark, sf, "lineitem"), "l_returnflag", "l_orderkey", "l_quantity"))

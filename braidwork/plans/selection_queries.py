@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidwork.operators import choosing
-from braidwork.operators.ranking import balanced, fill_quotas, first_wins, quotas, round_robin, split_exact, split_groups, stride, trimmed
+from braidwork.operators.ranking import balanced, dealt, fill_quotas, first_wins, quotas, round_robin, split_exact, split_groups, stride, trimmed
 from braidwork.plans.catalog import query, rounded
 from braidwork.plans.inputs import CANDIDATES, CLIPS, candidates, clips
 from braidwork.session import table
@@ -141,3 +141,9 @@ def g04_most_common(spark, sf):
 
     t = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("seen"))
     return t.select("event_type", "n", F.row_number().over(Window.orderBy(F.col("n").desc(), "seen")).alias("rank"))
+
+
+@query(f"{K}, f as (select utt_id, row_number() over (order by min(ord)) - 1 as n from k group by 1) select k.ord, (row_number() over (order by k.ord) - 1) % 3 as shard, f.n % 3 as group_shard from k join f using (utt_id)")
+def f11_shards(spark, sf):
+    rows = dealt(clips(spark, sf).select("ord", "utt_id"), ["ord"], 3)
+    return dealt(rows.withColumnRenamed("shard", "s"), ["ord"], 3, "utt_id").select("ord", F.col("s").alias("shard"), F.col("shard").alias("group_shard"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import columns
 from braidwork.operators import choosing, joining, measuring, neardup, ranking, statistics
 from braidwork.session import spread
-from braidwork.sources import manifest, waves
+from braidwork.sources import manifest, runs, waves
 from braidwork.streaming import incremental
 
 
@@ -233,3 +233,19 @@ def test_near_duplicates_of_whole_texts_keep_word_order_of_shingles(spark):
     df = spark.createDataFrame(rows, "i long, t string").withColumn("w", columns.tokens(F.col("t")))
     kept = neardup.kept(neardup.word_signed(df, F.col("w"), 16).select("i", "sig"), "i", 0.85)
     assert sorted(r["i"] for r in kept.collect()) == [1, 4, 6]
+
+
+def test_runs(spark, tmp_path):
+    with pytest.raises(ValueError):
+        runs.Settings(voices=("x",)).checked(("maya",))
+    with pytest.raises(ValueError):
+        runs.Settings(speeds=(2.5,)).checked(())
+    s = runs.Settings(voices=("maya",), speeds=(1,)).checked(("maya",)).calibrated({"tau_cer": 0.2, "other": 1})
+    assert (s.speeds, s.tau_cer, s.tau_recall) == ((1.0,), 0.2, 0.8)
+    (tmp_path / "a.wav").write_bytes(b"abc")
+    got = {r["name"]: r["sha256"] for r in runs.stamp(spark, "r1", s, {"a": str(tmp_path / "a.wav"), "b": str(tmp_path / "none")}).collect()}
+    assert got == {"a": "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad", "b": None}
+    rows = spark.createDataFrame([(1, str(tmp_path / "a.wav")), (2, str(tmp_path / "b.wav")), (3, None)], "i long, p string")
+    assert [r["i"] for r in runs.with_file(rows, "p", str(tmp_path)).collect()] == [1]
+    (tmp_path / "words").write_text("The 9\nthe 8\na 7\nit's 6\nof 5\nnext 4")
+    assert sorted(r["word"] for r in runs.ranked_words(spark, str(tmp_path / "words"), 5).collect()) == ["of", "the"]
