@@ -28,6 +28,9 @@ BLOCK = 64
 ROUNDS = 12
 #: Slots that one row unfolds to, and slots of an output shard on average.
 CHUNK, PER_SHARD = 16_384, 16_384
+#: One whole copy of a document, in parts that sum exactly.
+UNIT_BITS = 20
+UNIT = 1 << UNIT_BITS
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0) -> DataFrame:
@@ -80,11 +83,8 @@ def slots(sources: DataFrame, block: int = BLOCK, seed: int = 17) -> DataFrame:
     return rows.select("sid", "epoch", "slot", shard.alias("shard"), index.alias("block"))
 
 
-def mix(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0, block: int = BLOCK, seed: int = 17,
-) -> DataFrame:
-    """One row per document: id, tag, size, source_size, target and the words that the mix takes of it."""
+def _mixed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, repeat: float, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(sid, _id, _tag, size, source_size, target, taken), a row per document, and the sources' targets."""
     scratch = Scratch(spark, "mix")
     sized = scratch.keep(docs.select(F.col(id_col).alias("_id"), text_tag(text_col).alias("_tag"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
     sources = scratch.keep(targets(sized, weights, share, repeat).coalesce(1))
@@ -97,16 +97,41 @@ def mix(
     taken = spans.withColumn("_words", words).join(shown, ["sid", "block"]).groupBy("sid", "_at").agg(F.sum(F.col("_words") * F.col("_times")).alias("_taken"))
     full = placed.withColumn("_key", F.when(F.col("size") > 0, F.col("_at")))
     joined = full.join(taken.select(F.col("sid").alias("_sid"), F.col("_at").alias("_k"), "_taken"), (F.col("sid") == F.col("_sid")) & (F.col("_key") == F.col("_k")), "left")
-    return joined.select(F.col("_id").alias(id_col), F.col("_tag").alias("text_tag"), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.select("sid", "_id", "_tag", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")), sources
+
+
+def mix(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0, block: int = BLOCK, seed: int = 17,
+) -> DataFrame:
+    """One row per document: id, tag, size, source_size, target and the words that the mix takes of it."""
+    rows, _ = _mixed(spark, docs, id_col, text_col, source_col, weights, share, repeat, block, seed)
+    return rows.select(F.col("_id").alias(id_col), F.col("_tag").alias("text_tag"), "size", "source_size", "target", "taken")
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents as the mix shows them: each as often as its taken words make it, rounded half up (0, 1, 2, ...).
+def mixed_documents(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: float = 2.0, block: int = BLOCK, seed: int = 17,
+) -> DataFrame:
+    """The documents as the mix shows them: each as often as its taken share, rounded down or up (0, 1, 2, ...).
+
+    Shares are summed within a source in order of size, equal sizes in a seeded order, from a seeded
+    start; a document gets the whole copies by which its sum passes integers. What one is rounded down,
+    the next of about its size makes up, so the words shown of a source, and of its documents below any size,
+    differ from the words taken by less than the largest of these documents.
 
-    A document without words isn't shown. Repeated rows share the mean of what they got.
+    A document without words isn't shown. Repeated rows of a source share the mean of what they got, count as
+    one document of their joint size in that bound, and are all shown equally often.
     """
-    shown = mix(spark, docs, id_col, text_col, source_col, **how).groupBy(id_col, "text_tag").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_share"))
-    shown = shown.select(F.col(id_col).alias("__bw_i"), F.col("text_tag").alias("__bw_t"), F.floor(F.col("_share") + 0.5).cast("int").alias("__bw_times")).where("__bw_times > 0")
+    scratch = Scratch(spark, "mixed")
+    rows, sources = _mixed(spark, docs, id_col, text_col, source_col, weights, share, repeat, block, seed)
+    units = F.round(F.sum("taken") * UNIT / F.sum("size")).cast("long")
+    shares = rows.where("size > 0").groupBy("sid", "_id", "_tag").agg(F.sum("size").alias("_words"), units.alias("_units")).withColumn("_turn", F.xxhash64(F.lit(seed), F.lit("turn"), "_id", "_tag"))
+    summed = running(scratch, shares, ["sid"], ["_words", "_turn", "_id", "_tag"], F.col("_units"), by_value="_sum")
+    start = F.col("_sum") + F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "sid"), F.lit(UNIT))
+    passed = F.shiftright(start + F.col("_units"), UNIT_BITS) - F.shiftright(start, UNIT_BITS)
+    shown = summed.join(sources.select(F.col("sid").alias("_n"), F.col("source").alias("__bw_s")), F.col("sid") == F.col("_n"))
+    shown = shown.select("__bw_s", F.col("_id").alias("__bw_i"), F.col("_tag").alias("__bw_t"), passed.cast("int").alias("__bw_times")).where("__bw_times > 0")
     own = docs.withColumn("__bw_tag", text_tag(text_col))
-    joined = own.join(shown, F.col(id_col).eqNullSafe(F.col("__bw_i")) & (F.col("__bw_tag") == F.col("__bw_t")))
-    return joined.withColumn("__bw_copy", F.explode(F.sequence(F.lit(1), F.col("__bw_times")))).select(*docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col("__bw_i")) & (F.col("__bw_tag") == F.col("__bw_t")) & F.col(source_col).eqNullSafe(F.col("__bw_s"))
+    return own.join(shown, same).withColumn("__bw_copy", F.explode(F.sequence(F.lit(1), F.col("__bw_times")))).select(*docs.columns)

@@ -232,6 +232,31 @@ def test_mix(spark, docs, empty):
     assert mixing.mixed_documents(spark, docs).columns == docs.columns
 
 
+def test_mixed_documents_meet_the_mix(spark):
+    """Words shown by whole documents against words taken, per source and for every length band."""
+    rng = random.Random(8)
+    sizes = [rng.choice([rng.randint(1, 60), rng.randint(60, 600), rng.randint(600, 3000)]) for _ in range(360)]
+    rows = [(i, "w " * n, f"s{i % 6}" if i % 6 < 5 else None, n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    of = {r[0]: (r[2], r[3]) for r in rows}
+    taken, targets = defaultdict(list), {}
+    for r in mixing.mix(spark, df).collect():
+        source, n = of[r["doc_id"]]
+        taken[source].append((n, r["taken"], r["doc_id"]))
+        targets[source] = r["target"]
+    copies = Counter(r["doc_id"] for r in mixing.mixed_documents(spark, df).collect())
+    assert copies == Counter(r["doc_id"] for r in mixing.mixed_documents(spark, df.repartition(7)).collect())
+    assert sum(copies.values()) > 100
+    for source, docs in taken.items():
+        off = 0
+        for n, words, i in sorted(docs):
+            assert words // n <= copies[i] <= -(-words // n)
+            off += copies[i] * n - words
+            if n not in {x[0] for x in docs if x[2] != i}:  # between equal sizes the order is seeded
+                assert abs(off) <= n + 1
+        assert abs(sum(copies[i] * n for n, _, i in docs) - targets[source]) <= max(docs)[0] + 130
+
+
 def test_line_spread(spark, docs, empty):
     for margin in (0.07, 0.0, 5.0):
         out = {(r["doc_id"], r["text"]): r for r in linespread.strip_boilerplate(spark, docs, margin=margin).collect()}
