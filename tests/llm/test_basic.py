@@ -1,5 +1,6 @@
 """Properties of the operators on edge rows, against brute force."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -67,6 +68,25 @@ def test_compression_verdict():
     assert not judge.verdict(bytes(rng.randrange(256) for _ in range(5000)))[2]
 
 
+def prose(rng, n):
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(900 + n // 8)]
+    return " ".join(rng.choices(vocabulary, k=n))[:n].encode()
+
+
+def test_compression_bands_tell_at_every_length():
+    judge = compression._Judge(compression.Bands())
+    rng = random.Random(5)
+    for n in (300, 420, 600, 900, 1300, 2000, 2800, 4053, 6079, 9000, 14_000, 30_000):
+        words = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(3, 9))) for _ in range(n))[:n].encode()
+        assert judge.verdict(prose(rng, n))[2], n
+        assert not judge.verdict(base64.encodebytes(rng.randbytes(n))[:n])[2], n
+        assert not judge.verdict(words)[2], n
+        half = prose(rng, n // 2)
+        floor, ceiling = judge.limits(n)
+        assert judge.ratio(half + half) < floor and judge.ratio(words) > ceiling, n
+    assert judge.verdict("यह एक साफ़ और सामान्य वाक्य है जिसमें कई अलग शब्द आते हैं और कोई दोहराव नहीं होता क्योंकि लेखक ने ध्यान रखा था".encode())[2]
+
+
 def test_hilbert_curve_is_continuous():
     for dims, bits in ((2, 3), (3, 3), (3, 4)):
         order = hilbert.table(dims, bits)
