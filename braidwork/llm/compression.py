@@ -1,6 +1,6 @@
 """Quality rules: compression bands.
 
-Zstandard ratios (compressed bytes / bytes) of the whole document and of its fixed chunks must
+Zstandard ratios (compressed bytes / bytes) of the whole document and of its chunks must
 lie inside bands. A document under a band's floor repeats itself; one over its ceiling is noise.
 Short texts compress badly by nature, so floor and ceiling follow the length, straight between
 points in the logarithm of bytes.
@@ -15,8 +15,8 @@ which more than half the bytes are beyond ASCII (other scripts) compress otherwi
 measure, and they keep wide bands.
 
 Defined results. Null text: no words, so `base_failed`. Empty text: the same, ratio null.
-A text shorter than the first point has no compression verdict. A last chunk shorter than the
-chunk size is judged with the whole document only. Rows are judged one by one: repeated rows
+A text shorter than the first point has no compression verdict. One shorter than
+the least chunk is judged as a whole only, and its share of bad chunks is null. Rows are judged one by one: repeated rows
 give repeated results, an empty table gives an empty one, extra columns are ignored, a null id
 stays null.
 """
@@ -42,9 +42,12 @@ ASCII = bytes(range(128))
 @dataclass(frozen=True)
 class Bands:
     """`curve`: (bytes, floor, ceiling), ascending; the last holds for all longer texts. `wide`: (bytes from, floor,
-    ceiling) in steps, for texts mostly beyond ASCII. A chunk is judged as a text of its size.
+    ceiling) in steps, for texts mostly beyond ASCII. A chunk is judged as a text of its size,
+    with both limits set off by `chunk_margin`, as a text has many.
 
-    A document fails by its chunks if more than `bad_share` of them lie outside.
+    Chunks have at most `chunk_bytes`, in short texts less, but `least_chunk` at least. The last one ends where the
+    text ends and counts by the bytes that it adds. A document fails by its chunks if more than `bad_share` of its
+    bytes lie in chunks outside.
     """
 
     curve: tuple[tuple[int, float, float], ...] = (
@@ -54,6 +57,8 @@ class Bands:
     )
     wide: tuple[tuple[int, float, float], ...] = ((100, 0.25, 1.60), (400, 0.25, 0.95), (1600, 0.22, 0.80), (6400, 0.20, 0.70))
     chunk_bytes: int = 2048
+    least_chunk: int = 256
+    chunk_margin: float = 0.05
     bad_share: float = 0.3
     level: int = 3
     min_words: int = 50
@@ -85,22 +90,31 @@ class _Judge:
         return next(((floor, ceiling) for least, floor, ceiling in reversed(self.bands.wide) if n >= least), (-math.inf, math.inf))
 
     def verdict(self, data: bytes) -> tuple[float | None, float | None, bool]:
-        """Ratio of the whole, share of chunks outside, and whether both are fine."""
+        """Ratio of the whole, share of bytes in chunks outside, and whether both are fine."""
         if not data:
             return None, None, True
         limits = self.limits if 2 * len(data.translate(None, ASCII)) <= len(data) else self.wide_limits
         whole = self.ratio(data)
         floor, ceiling = limits(len(data))
         fine = floor <= whole <= ceiling
-        n = len(data) // self.bands.chunk_bytes
-        if n == 0:
+        size = self.chunk_size(len(data))
+        if len(data) < size:
             return whole, None, fine
-        size = self.bands.chunk_bytes
         low, high = limits(size)
+        low, high = low * (1 - self.bands.chunk_margin), high * (1 + self.bands.chunk_margin)
         view = memoryview(data)
-        bad = sum(not low <= self.ratio(view[i * size : (i + 1) * size]) <= high for i in range(n)) / n
+        outside = 0
+        for at in range(0, len(data), size):
+            end = min(at + size, len(data))  # the last chunk reaches back over its neighbour
+            if not low <= self.ratio(view[end - size : end]) <= high:
+                outside += end - at
+        bad = outside / len(data)
         return whole, bad, fine and bad <= self.bands.bad_share
 
+    def chunk_size(self, n: int) -> int:
+        """Bytes of the chunks of a text of n bytes: a power of two that gives four chunks or more, within the bounds."""
+        return min(self.bands.chunk_bytes, max(self.bands.least_chunk, 1 << max(n // 4, 1).bit_length() - 1))
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window which occurs at least twice, first occurrence included."""

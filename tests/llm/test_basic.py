@@ -87,6 +87,21 @@ def test_compression_bands_tell_at_every_length():
     assert judge.verdict("यह एक साफ़ और सामान्य वाक्य है जिसमें कई अलग शब्द आते हैं और कोई दोहराव नहीं होता क्योंकि लेखक ने ध्यान रखा था".encode())[2]
 
 
+def test_compression_chunks_cover_the_text():
+    judge = compression._Judge(compression.Bands())
+    rng = random.Random(7)
+    for n in (400, 1100, 2047, 2048, 3000, 6200, 20_000):
+        clean = prose(rng, n)
+        assert judge.verdict(clean)[1] == 0, n
+        tail = base64.encodebytes(rng.randbytes(n))[: 2 * n // 3]
+        assert judge.verdict(clean + tail)[1] > 0.3, n
+        assert not judge.verdict(clean + (b" buy cheap pills" * n)[: 2 * n // 3])[2], n
+    clean = prose(rng, 2048)
+    whole, bad, kept = judge.verdict(clean + (b" buy cheap pills" * 110)[:1700])
+    assert bad > 0.4 and not kept
+    assert judge.verdict(b"x" * 255)[1] is None and judge.verdict(b"x" * 257)[1] == 1
+
+
 def test_hilbert_curve_is_continuous():
     for dims, bits in ((2, 3), (3, 3), (3, 4)):
         order = hilbert.table(dims, bits)
