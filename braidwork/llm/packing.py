@@ -16,7 +16,8 @@ The plan is a list of ranges: pieces of one length with ranks a..b go to sequenc
 one offset. A broadcast of that list (bounded by the capacity) places every piece.
 
 Defined results. Null or empty text: one piece with the end id alone. A document longer than the
-capacity is cut so that its first piece takes the remainder. Repeated rows are packed each for
+capacity is cut so that its first piece takes the remainder. The string of an added token of the vocabulary
+is that token, wherever it stands in a text. Repeated rows are packed each for
 itself; ties in length are broken by id, piece and checksum. A null id sorts first. An empty table
 gives no pieces. Extra columns are ignored.
 """
@@ -24,9 +25,11 @@ gives no pieces. Extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -48,12 +51,31 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@cache
-def encoder(path: str):
-    """The byte-level BPE vocabulary of a tokenizers file, run by tiktoken: the same ids, several times faster.
+@dataclass(frozen=True)
+class Encoder:
+    """The ids of a byte-level BPE file as the tokenizers library gives them with add_special_tokens=False.
 
-    The ids are compared with those of the tokenizers library in the tests.
+    Ordinary text is run by tiktoken: the same ids, several times faster. A text is cut at the strings of
+    the file's added tokens, which stand for their own ids; what lies between them is encoded by itself.
+    The tests compare the ids with those of the tokenizers library.
     """
+
+    ordinary: Callable[[str], list[int]]
+    added: dict[str, int]
+    cuts: re.Pattern | None
+
+    def __call__(self, text: str) -> list[int]:
+        if self.cuts is None or not any(x in text for x in self.added):
+            return self.ordinary(text)
+        ids: list[int] = []
+        for part in self.cuts.split(text):
+            ids += [self.added[part]] if part in self.added else self.ordinary(part)
+        return ids
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file, one for each Python worker."""
     import public_tokenizers
     import tiktoken
 
@@ -63,9 +85,15 @@ def encoder(path: str):
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(printable)]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {x["content"] for x in held.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("braidwork", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = held.get("added_tokens", [])
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in tokens):
+        raise ValueError(f"{path}: added tokens that also match by their surroundings aren't supported")
+    added = {x["content"]: x["id"] for x in tokens}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in added}
+    longest_first = sorted(added, key=lambda x: (-len(x), x))
+    cuts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
+    ordinary = tiktoken.Encoding("braidwork", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return Encoder(ordinary, added, cuts)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -76,7 +104,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for batch in batches:
             which, out = [], ([], [], [], [])
             for row, text in enumerate(batch.column(1)):

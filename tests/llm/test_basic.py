@@ -21,6 +21,7 @@ ROWS = [
     (5, "Released under the MIT License\nthe mit license\nAll rights reserved", "en", "b", 1, "x", "y", 1),
     (None, "a b c d e", "fr", "c", 1, "x", "y", 1),
     (7, "   \n\t \n", "fr", "c", 1, "x", "y", 1),
+    (8, "before <|endoftext|> after\n<|endoftext|>", "fr", "c", 1, "x", "y", 1),
     *[(100 + i, f"shared line here\nown line {i}\nshared line here", "en", f"s{i % 12}", 1, "x", "y", 1) for i in range(24)],
 ]
 
@@ -192,7 +193,6 @@ def test_packing(spark, docs, empty):
     rows = packing.pack(spark, docs).collect()
     assert packing.pack(spark, empty).count() == 0
     tok = Tokenizer.from_file(packing.default_vocabulary())
-    tok.encode_special_tokens = True
     want = Counter()
     for r in ROWS:
         ids = np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -214,9 +214,11 @@ def test_encoder_matches_tokenizers():
 
     path = packing.default_vocabulary()
     tok, enc = Tokenizer.from_file(path), packing.encoder(path)
-    tok.encode_special_tokens = True
-    for text in ("", " ", "a" * 3000, "日本語 éà ́x \n\n  y\t", "<|endoftext|> hi", "it's 12 34½ ²³ we'll", "😀" * 50, "\x00\x01", LONG[:5000]):
-        assert enc.encode_ordinary(text) == tok.encode(text, add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    special = (end, f"{end} hi", f"hi {end}", f"a  {end}\n\n b{end}{end}c", f"{end[:-1]} {end} <|{end}|>", f"it's{end}'s 12{end}34  ")
+    assert tok.encode(f"{end} hi", add_special_tokens=False).ids[0] == 50256
+    for text in (*special, "", " ", "a" * 3000, "日本語 éà ́x \n\n  y\t", "<|endoftext|> hi", "it's 12 34½ ²³ we'll", "😀" * 50, "\x00\x01", LONG[:5000]):
+        assert enc(text) == tok.encode(text, add_special_tokens=False).ids, text
 
 
 def water_fill(sizes, weights):
