@@ -1,21 +1,25 @@
 """Sharding by Hilbert-curve ordering, in DataFrame operations only.
 
-Language, source and size are each quantised to 16 cells by equi-depth cut points; the cells
-of the cube get their place on the Hilbert curve from a table of 4,096 entries; rows sort by that
-place, and runs of the order become shards. A shard then covers a compact box of all three
-dimensions, so that file statistics prune on any of them.
+Language, source and size are each quantised to 16 cells by equi-depth cut points over whole values; the
+cells of the cube get their place on the Hilbert curve from a table of 4,096 entries; rows sort by that
+place, and runs of the order become shards. A run of the curve is a compact region of the cube, the more so
+the shorter it is: eight shards halve each dimension at most, and a value that most rows share (a language)
+stands in most shards. Files cut finer, as `write_shards` does by rows, prune on any of the three.
 
-Law: `rows`. Cut points come from one aggregation over all rows and are fixed before rows are
+Law: `rows`. Cut points come from aggregations over all rows and are fixed before rows are
 placed. No task holds a whole cell: rows are dealt by range of (place, id, text tag).
 
-Defined results. Null text: size 1, checksum 0. Null language or source: the first cell. Ties
-(repeated rows) are ordered among themselves at will; their results differ in the slot alone. An
+Defined results. Null text: size 1, checksum 0. Null language or source: below all
+others, the empty string included. Ties in place are ordered by id (null first) and a 64-bit tag of the text; rows alike in both take
+their slots in no stated order, so that the set of their results is fixed, but not which row has which. An
 empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.columns import running, text_tag
@@ -56,10 +60,19 @@ def table(dims: int = 3, bits: int = BITS) -> list[int]:
     return [curve_place(tuple(i >> bits * d & mask for d in range(dims)), bits) for i in range(1 << bits * dims)]
 
 
-def _number(text: Column) -> Column:
-    """The first seven bytes of a string as a number that sorts alike."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def string_cuts(scratch: Scratch, rows: DataFrame, column: str) -> list[str | None]:
+    """Equi-depth cut points of a string column: for each sixteenth of all rows the value that reaches it.
+
+    Whole values count, in order of code points, by their frequencies; values are distinct, so a hot one is one row
+    of the running sum. At most `CUTS` - 1 values reach the driver. A null lies below all others.
+    """
+    counted = scratch.keep(rows.groupBy(column).agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    summed = running(scratch, counted.withColumn("_some", F.col(column).isNotNull()), [], ["_some", column], F.col("n"), by_value="_at")
+    # the points i * total / CUTS that lie in the value's rows: those after the rows before it, up to its last
+    first, last = F.expr(f"_at * {CUTS} div {max(1, total)} + 1"), F.expr(f"(_at + n) * {CUTS} div {max(1, total)}")
+    points = summed.select(column, first.alias("a"), F.least(last, F.lit(CUTS - 1)).alias("b")).where("a <= b")
+    return [r[0] for r in sorted(points.collect(), key=lambda r: r["a"]) for _ in range(r["b"] - r["a"] + 1)]
 
 
 def hilbert_order(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -71,20 +84,20 @@ def hilbert_order(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
             text_tag(text_col).alias("_tag"),
             (F.coalesce(F.octet_length(raw), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(raw), F.lit(0)).alias("text_crc32"),
-            _number(F.col(lang_col)).alias("_a"),
-            _number(F.col(source_col)).alias("_b"),
+            F.col(lang_col).alias("_a"),
+            F.col(source_col).alias("_b"),
         )
     )
     points = [i / CUTS for i in range(1, CUTS)]
-    dims = ("_a", "_b", "size")
-    cuts = rows.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in dims]).first()  # one row of 45 numbers
+    sizes = rows.agg(F.percentile_approx("size", points, 10_000)).first()[0] or []  # one row of 15 numbers
+    cuts = {"_a": string_cuts(scratch, rows, "_a"), "_b": string_cuts(scratch, rows, "_b"), "size": sizes}
     cell = F.lit(0)
-    for i, c in enumerate(dims):
-        above = F.lit(0)
-        for cut in sorted(set(cuts[c] or [])):
-            above = above + (F.col(c) > F.lit(cut)).cast("int")
+    for i, (c, at) in enumerate(cuts.items()):
+        # a value that fills several sixteenths is one cell, and the next value stands as far behind it
+        over = lambda cut: F.col(c).isNotNull() if cut is None else F.col(c) > F.lit(cut)  # noqa: B023, E731
+        above = sum((F.when(over(cut), n).otherwise(0) for cut, n in Counter(at).items()), start=F.lit(0))
         cell = cell + F.shiftleft(above, i * BITS)
-    places = F.split(F.lit(",".join(map(str, table(len(dims))))), ",")
+    places = F.split(F.lit(",".join(map(str, table(len(cuts))))), ",")
     return rows.select("_id", "_tag", "size", "text_crc32", cell.alias("cell")).withColumn("place", F.get(places, F.col("cell")).cast("int"))
 
 

@@ -65,7 +65,10 @@ def strip_boilerplate(
     own = docs.withColumn("__bw_tag", text_tag(text_col))
     joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("__bw_i")) & (F.col("__bw_tag") == F.col("__bw_t")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__bw_gone"), i)), "\n")
+    # a set difference of positions, then one look-up for each line that stays: linear in the lines of a text
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__bw_gone"))
+    bound = F.array(F.struct(parts.alias("lines"), stays.alias("stays")))  # bound by a lambda, so that no line splits the text again
+    left = F.get(F.transform(bound, lambda b: F.array_join(F.transform(b["stays"], lambda i: F.get(b["lines"], i)), "\n")), 0)
     stripped = F.when(F.col("__bw_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     return joined.select(*[stripped if c == text_col else F.col(c) for c in docs.columns], size(parts).alias(N_LINES), size(F.col("__bw_gone")).alias(N_REMOVED))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,6 +127,42 @@ def test_hilbert_shards(spark, docs, empty):
     assert by[4]["size"] == len(LONG.encode()) + 1 and by[4]["text_crc32"] == zlib.crc32(LONG.encode())
 
 
+def test_hilbert_cells_follow_whole_strings(spark):
+    """Cuts against a plain quantile over the sorted rows; long names with one beginning get cells of their own."""
+    rng = random.Random(12)
+    names = [None, "", *(f"https://a-host-of-the-web.example/{k:02}" for k in range(12))]
+    rows = [(i, "t" * rng.randint(0, 400), rng.choice(["de", "en", "en", "en", "fr"]), names[min(13, int(rng.expovariate(0.25)))]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {r["doc_id"]: r for r in hilbert.hilbert_shards(spark, df).collect()}
+    for column, shift in ((2, 0), (3, 4)):
+        low = lambda x: (x is not None, x or "")
+        ordered = sorted((r[column] for r in rows), key=low)
+        cuts = [ordered[-(-i * len(rows) // 16) - 1] for i in range(1, 16)]
+        for r in rows:
+            assert got[r[0]]["cell"] >> shift & 15 == sum(low(r[column]) > low(c) for c in cuts)
+    assert len({r["cell"] >> 4 & 15 for r in got.values()}) > 8
+
+
+def test_hilbert_order_prunes(spark):
+    """Runs of the curve against runs of rows as they come: how many a filter on each dimension must read."""
+    rng = random.Random(3)
+    rows = [(i, "t" * int(rng.lognormvariate(5, 1)), rng.choice(["de", "en", "en", "es", "fr"]), f"s{rng.randrange(20):02}") for i in range(4096)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shard = {r["doc_id"]: r["shard"] for r in hilbert.hilbert_shards(spark, df, shards=64).collect()}
+    arrival = {r[0]: r[0] // 64 for r in rows}
+
+    def read(parts, value):
+        """Of all shards, the share whose bounds hold a row's value, in the mean of all rows."""
+        bounds = defaultdict(list)
+        for r in rows:
+            bounds[parts[r[0]]].append(value(r))
+        bounds = [(min(v), max(v)) for v in bounds.values()]
+        return sum(n * sum(a <= x <= b for a, b in bounds) for x, n in Counter(map(value, rows)).items()) / len(rows) / len(bounds)
+
+    for value, most in ((lambda r: len(r[1]), 0.55), (lambda r: r[2], 0.7), (lambda r: r[3], 0.45)):
+        assert read(shard, value) < most < 0.8 < read(arrival, value)
+
+
 def test_hilbert_files(spark, docs, tmp_path):
     hilbert.write_shards(spark, docs, f"file://{tmp_path}/out", shards=4)
     back = spark.read.parquet(f"file://{tmp_path}/out")
@@ -305,6 +342,18 @@ def test_line_spread(spark, docs, empty):
     assert linespread.strip_boilerplate(spark, docs).count() == len(ROWS)
 
 
+def test_line_spread_of_many_lines(spark):
+    """Documents of many boilerplate lines: the time follows the lines, not their square."""
+    shared = [f"shared line {i}" for i in range(40_000)]
+    rows = [(d, "\n".join([*shared[: 20_000 + 2_000 * d], "", f"own {d}", shared[0]]), f"s{d}") for d in range(11)]
+    began = time.perf_counter()
+    out = {r["doc_id"]: r["text"] for r in linespread.strip_boilerplate(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert out[0] == "\n".join([*shared[:20_000], "", "own 0"])
+    assert out[1] == "\n".join([*shared[20_000:22_000], "", "own 1"])
+    assert out[2] == "\n".join([*shared[22_000:24_000], "", "own 2"])
+
+
 def test_license_scan(spark, docs, empty):
     rows = licenses.license_scan(spark, docs).collect()
     assert len(rows) == len(ROWS) and licenses.license_scan(spark, empty).count() == 0
