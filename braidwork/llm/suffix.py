@@ -17,7 +17,7 @@ segment of less than 2 * width bytes.
 4. Repeated windows go back to all places of their content, and each document is cut on its own.
 
 Defined results. Null text: as empty; nothing removed. A text shorter than `width` has no windows.
-Repeated rows repeat each other. A null id is an id. An empty table gives no rows. Extra columns are
+Repeated rows repeat each other. A null id is an id. A very long text is hashed in chunks and cut in one task. An empty table gives no rows. Extra columns are
 ignored.
 """
 
@@ -251,10 +251,10 @@ def _cut(batches: Iterator[pa.RecordBatch], id_col: str, width: int) -> Iterator
                     kept.update(data[at:x])
                     removed, n_spans, at = removed + y - x, n_spans + 1, y
             kept.update(data[at:])
-            rows.append((len(data), removed, n_spans, kept.hexdigest()))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((len(data), removed, n_spans, kept.hexdigest(), n_spans > 0))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"])
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
@@ -296,9 +296,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
-    """One row per document: its bytes, those removed, the number of removed runs, and the digest of the rest."""
+    """One row per document: its bytes, those removed, the number of removed runs, the digest of the rest, and whether it repeats anything."""
     spans = repeated_spans(spark, docs, id_col, text_col, width, limit).select(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), "spans")
     own = docs.select(F.col(id_col).alias("_id"), text_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
     met = own.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t")), "left").select("_id", "_text", "spans")
     kind = dict(docs.dtypes)[id_col]
-    return met.mapInArrow(lambda it: _cut(it, id_col, width), f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return met.mapInArrow(lambda it: _cut(it, id_col, width), f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean")

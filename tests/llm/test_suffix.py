@@ -77,10 +77,28 @@ def test_suffix_dedup(spark, limit):
     rows += [rows[4], rows[4]]
     df = spark.createDataFrame(rows, "doc_id long, text string, mini string").repartition(3)
     got = Counter(map(tuple, suffix.suffix_dedup(spark, df, width=width, limit=limit).collect()))
-    want = Counter((r[0], *x) for r, x in zip(rows, brute([r[1] for r in rows], width), strict=True))
+    want = Counter((r[0], *x, x[1] > 0) for r, x in zip(rows, brute([r[1] for r in rows], width), strict=True))
     assert got == want
 
 
+def test_passages_of_many_words_and_a_long_text(spark):
+    """A passage in two documents is found where it has 400 bytes; clean documents stay whole; so does a text of a megabyte."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (70, 80, 120)]
+    rows, planted = [], set()
+    for i in range(60):
+        own = [word() for _ in range(150)]
+        if i % 3 == 0:
+            own[60:60] = [passages[i // 3 % 3]]
+            planted.add(i)
+        rows.append((i, " ".join(own)))
+    rows.append((99, " ".join(word() for _ in range(160_000))))
+    got = {r["doc_id"]: r for r in suffix.suffix_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, r in got.items() if r["has_repeats"]} == planted
+    assert got[99]["n_bytes"] > 1_000_000 and got[99]["kept_sha256"] == hashlib.sha256(rows[-1][1].encode()).hexdigest()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.suffix_dedup(spark, df).count() == 0
