@@ -355,6 +355,108 @@ def test_mix(spark, docs, empty):
     assert mixing.mixed_documents(spark, docs).columns == docs.columns
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints and strings, by the public algorithm, as an unsigned number."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v, kind in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack("<q" if kind == "l" else "<i", v), seed)
+    return seed
+
+
+def brute_permuted(x, n, *key):
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for r in range(1, mixing.ROUNDS + 1):
+        other = (signed(spark_hash(*key, (r, "i"))) % n - x) % n
+        if signed(spark_hash(*key, (r, "i"), ("coin", "s"), (max(x, other), "l"))) % 2 == 1:
+            x = other
+    return x
+
+
+def brute_mix(rows, per_shard=mixing.PER_SHARD, block=mixing.BLOCK, seed=17):
+    """Words taken and shards of each (id, text, source), and the blocks of all shards; ids are distinct."""
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    stream = {s: [(r[0], w) for r in sorted(rows, key=lambda r: r[0]) if r[2] == s for w in (r[1] or "").split()] for s in sources}
+    goals = water_fill([len(stream[s]) for s in sources], [3, 1, 2] * len(sources))
+    wanted = []
+    for sid, (s, goal) in enumerate(zip(sources, goals, strict=True), 1):
+        n = -(-len(stream[s]) // block)
+        wanted += [(sid, s, n, i) for i in range(int(goal * n / len(stream[s]) + 0.5) if n else 0)]
+    taken, shards, out = Counter(), defaultdict(set), {}
+    for at, (sid, s, n, i) in enumerate(wanted):
+        b = brute_permuted(i % n, n, (seed, "i"), (sid, "l"), (i // n, "l"))
+        shard, place = divmod(brute_permuted(at, len(wanted), (seed, "i"), ("deal", "s")), per_shard)
+        words = stream[s][b * block : (b + 1) * block]
+        assert (shard, place) not in out
+        out[shard, place] = (s, b, " ".join(w for _, w in words))
+        for d, _ in words:
+            taken[d] += 1
+            shards[d].add(shard)
+    return taken, shards, out, dict(zip(sources, goals, strict=True))
+
+
+def test_mix_by_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, rng.choice([" \n", "\t"]).join(f"w{i}_{k}" for k in range(rng.choice([0, 1, 5, 60, 64, 300, 900]))) if i % 11 else None, rng.choice(["a", "b", "b", "b", "é", None, "zz"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken, shards, blocks, goals = brute_mix(rows, per_shard=50)
+    got = {r["doc_id"]: r for r in mixing.mix(spark, df).collect()}
+    assert {k: r["taken"] for k, r in got.items()} == {r[0]: taken[r[0]] for r in rows}
+    assert all(r["target"] == pytest.approx(goals[s]) for (k, _, s), r in zip(rows, (got[x[0]] for x in rows), strict=True))
+    whole = brute_mix(rows)[1]
+    assert all((r["first_shard"], r["last_shard"]) == ((min(whole[k]), max(whole[k])) if taken[k] else (None, None)) for k, r in got.items())
+    found = mixing.mixed_blocks(spark, df, per_shard=50).collect()
+    assert {(r["shard"], r["place"]): (r["source"], r["block"], r["text"]) for r in found} == blocks and len(found) == len(blocks)
+    assert mixing.mixed_blocks(spark, df.limit(0)).count() == 0 and mixing.mix(spark, df.where("text is null")).count() == sum(r[1] is None for r in rows)
+
+
+def test_shards_draw_their_sources(spark):
+    """Places are gapless, totals are fixed, and a shard's counts vary as a draw without replacement does."""
+    from braidwork.llm.scratch import Scratch
+
+    sizes = {1: 64_000, 2: 32_000, 3: 6400, 4: 12_800}
+    sources = spark.createDataFrame([(f"s{k}", k, n, 1.5 * n) for k, n in sizes.items()], "source string, sid long, source_size long, target double")
+    rows = mixing.slots(Scratch(spark, "t"), sources, per_shard=40).collect()
+    total = sum(n * 3 // 128 for n in sizes.values())
+    assert sorted(40 * r["shard"] + r["place"] for r in rows) == list(range(total))
+    assert Counter(r["sid"] for r in rows) == {k: n * 3 // 128 for k, n in sizes.items()}
+    shards = total // 40
+    held = Counter((r["shard"], r["sid"]) for r in rows)
+    for k, n in sizes.items():
+        p = n * 3 // 128 / total
+        spread = sum((held[j, k] - 40 * p) ** 2 for j in range(shards)) / shards
+        assert 0.5 < spread / (40 * p * (1 - p) * (total - 40) / (total - 1)) < 1.7
+
+
+def check_copies(rows, copies, taken):
+    """Whole copies against words taken: (id, source, words) in `rows`; nobody gets more than a share rounded up."""
+    off = defaultdict(int)
+    largest = defaultdict(int)
+    for i, source, n in rows:
+        if n:
+            assert taken[i] // n <= copies[i] <= -(-taken[i] // n)
+        else:
+            assert not copies[i]
+        off[source] += copies[i] * n - taken[i]
+        largest[source] = max(largest[source], n)
+    assert all(abs(off[s]) <= largest[s] + 1 for s in off)
+
+
+def test_shown_words_meet_targets(spark):
+    """Every source within 1 % of its target, where its documents are short against it."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(1, 60), f"s{i % 5}" if i % 3 else "s0") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goals = {(r["source"]): r["target"] for r in mixing.targets(df.selectExpr("source", "cast(length(text) div 2 as long) as size")).collect()}
+    shown = Counter()
+    for r in mixing.mixed_documents(spark, df).collect():
+        shown[r["source"]] += len(r["text"]) // 2
+    assert all(abs(shown[s] - goal) < 0.01 * goal for s, goal in goals.items()), (shown, goals)
+
+
 def test_mixed_documents_meet_the_mix(spark):
     """Words shown by whole documents against words taken, per source and for every length band."""
     rng = random.Random(8)

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from braidwork.llm import compression, mixing
+from braidwork.llm import compression
 
+from .test_basic import brute_mix, check_copies
 from .test_hyperminhash import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,8 +67,11 @@ def test_stages(spark, rows, tmp_path):
             assert len(kept) < len(want)
             want = [r for r in want if r[0] in kept]
         if name == "mix_sources":
-            shown = mixing.mix(spark, before).collect()
-            want = [r for r in want for s in shown if s["doc_id"] == r[0] for _ in range(int(s["taken"] / s["size"] + 0.5))]
+            words = {r[0]: len((r[1] or "").split()) for r in want}
+            taken, _, _, _ = brute_mix([(r[0], r[1], r[3]) for r in want])
+            copies = Counter(r["doc_id"] for r in docs.collect())
+            check_copies([(r[0], r[3], words[r[0]]) for r in want], copies, taken)
+            want = [r for r in want for _ in range(copies[r[0]])]
         if name != "pack_sequences":
             assert docs.columns == before.columns
             assert Counter(map(tuple, docs.collect())) == Counter(want)
