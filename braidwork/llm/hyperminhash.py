@@ -1,15 +1,15 @@
 """MinHash near-dedup: HyperMinHash.
 
-A document is its set of word shingles, hashed to 64 bits. A sketch has 128 registers; a register holds,
-of the least hash that falls to it, the count of leading zeros and ten mantissa bits. Large sets are
-parted among the registers by their top bits; an empty register borrows its right neighbour's value,
-marked with the distance, for banding alone. Sets of up to 256 shingles, which would leave registers
-empty, get one permutation of the hashes for each register instead; sets that may resemble sets on either
-side of the border have both sketches. Bands of five registers make candidates; an estimate of the
+A document is its set of word shingles. Words are hashed by xxh3, shingles by mixing the hashes of their words to
+64 bits. A sketch has 128 registers, whatever the set's size; a register holds,
+of the least hash that falls to it, the count of leading zeros and ten mantissa bits. For banding alone an
+empty register borrows from the first filled one in a fixed random order of its own, so that borrowed places agree
+as often as sets do. Bands of five registers make candidates; an estimate of the
 Jaccard similarity, corrected for chance collisions, discards those far below the threshold; the rest is
-verified on full sets with integers.
+verified on full sets of the words themselves, with integers.
 
-1. One pass makes sketches. Documents with equal sets collapse to the one with the least id.
+1. One pass makes sketches. Documents with equal sets collapse to the one with the least id. Sets so small that no
+   other set can reach the threshold have no bands.
 2. Members of a band bucket that is shared meet as sketches. The task ties those whose estimate is not
    far below the threshold (union-find: a forest, not all pairs). The components of these ties hold every
    pair that can be similar.
@@ -20,12 +20,13 @@ verified on full sets with integers.
 A bucket or component beyond `largest` members (or `heaviest` shingles) is split into chunks, and each pair
 of chunks is a task, so that no task grows with a group, and no pair of copies becomes a row.
 
-At the threshold t a pair shares no band with probability (1 - t^5)^25: 4e-7 at 0.85, 5e-5 at 0.8. The
-estimate discards a pair only if it lies six standard deviations below the threshold.
+At the threshold t a pair of large sets shares no band with probability (1 - t^5)^25: 4e-7 at 0.85, 5e-5 at 0.8; a test
+measures it for sets of all sizes. The filled registers of two sets are a sample of their union without replacement;
+the estimate discards a pair only if it lies six standard deviations of such a sample below the threshold.
 
 Defined results. Null, empty or wordless text: no shingles, linked with nothing, kept. Fewer words than a
-shingle: all words are one. Rows that share an id are one node. A null id: linked with nothing, component
-null, kept. An empty table gives no rows. Extra columns are ignored.
+shingle: all words are one. Ids are integers. Rows that share an id are one node. A null id: linked with nothing, component
+null, kept. A very long text is one set in one task. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,39 +47,22 @@ from braidwork.llm.scratch import Scratch, small_batches
 
 REGISTERS, MANTISSA, BAND = 128, 10, 5
 BANDS = REGISTERS // BAND
-#: Sets up to this size are sketched by permutations.
-SMALL = 256
 LARGEST, HEAVIEST = 3000, 3_000_000
 _TOP = 64 - REGISTERS.bit_length() + 1  # bits below those that choose a register
-
-_P = 0x9E3779B97F4A7C15 | 1
-_IP = pow(_P, -1, 1 << 64)
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
 
-@cache
-def _letters() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240521)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-@cache
-def _spaces() -> np.ndarray:
-    found = np.zeros(256, bool)
-    found[[32, 9, 10, 11, 12, 13]] = True
-    return found
+class _Hashes(dict):
+    """64-bit hashes of words, each computed once; emptied when it has grown large."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word, 20240521)
+        return found
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(1 << 17, n)
-        for i, base in enumerate((_P, _IP)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+_hash_of = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,25 +71,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    """The words, A-Z in lower case; bytes know just the six ASCII white-space characters and ASCII letters."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes], k: int) -> np.ndarray:
     """The set of k-word shingles, as sorted 64-bit hashes."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    inside = np.concatenate(([False], ~_spaces()[data], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, stop = edge[::2], edge[1::2]
-    if not len(start):
+    if not words:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_letters()[data] * up[: len(data)])))
-    words = _mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * _C)
+    hashes = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
     k = min(k, len(words))
     n = len(words) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
-        out = _mix(out * _C + words[i : i + n])
+        out = _mix(out * _C + hashes[i : i + n])
     return np.unique(out)
 
 
+def full_sets(documents: list[list[bytes]], k: int) -> list[np.ndarray]:
+    """The sets of shingles of several documents, as sorted numbers that are equal where the words are: no hashing."""
+    numbers: dict[bytes, int] = {}
+    short: dict[tuple[bytes, ...], int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for words in documents for w in words), np.int64)
+    windows, size = ids, max(1, len(numbers))
+    spread = size
+    for i in range(1, k):
+        if spread > (1 << 62) // size:
+            spread = len(ranks := np.unique(windows))
+            windows = np.searchsorted(ranks, windows)
+        windows = windows[:-1] * size + ids[i:] if len(windows) else windows
+        spread *= size
+    out, at = [], 0
+    for words in documents:
+        if 0 < len(words) < k:
+            out.append(np.array([-1 - short.setdefault(tuple(words), len(short))]))
+        else:
+            out.append(np.unique(windows[at : at + max(0, len(words) - k + 1)]))
+        at += len(words)
+    return out
+
+
 def _compress(low: np.ndarray, width: int) -> np.ndarray:
     """Leading zeros among `width` bits, from one up (zero is an empty register), and the bits after the leading one."""
     bits = np.frexp(low.astype(np.float64))[1]  # length in bits; where rounding adds one, it does so for equal values alike
@@ -114,7 +121,7 @@ def _compress(low: np.ndarray, width: int) -> np.ndarray:
     return (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | (scaled & np.uint64((1 << MANTISSA) - 1)).astype(np.uint16)
 
 
-def parted(hashes: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray) -> np.ndarray:
     """Registers of a set whose hashes are parted by their top bits; 0 where none fell."""
     bounds = np.array(np.arange(REGISTERS, dtype=object) << _TOP, np.uint64)
     at = np.searchsorted(hashes, bounds)
@@ -125,34 +132,30 @@ def parted(hashes: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, (2, REGISTERS, 1), dtype=np.uint64)
-    return draw[0], draw[1] * np.uint64(2) + np.uint64(1)
-
-
-def permuted(hashes: np.ndarray) -> np.ndarray:
-    """Registers of a set by one permutation of the hashes each."""
-    flip, odd = _permutations()
-    return _compress(((hashes[None] ^ flip) * odd).min(1), 64)
+def _donors() -> np.ndarray:
+    """For each register the order in which others are asked: itself, then all in a random order."""
+    rng = np.random.Generator(np.random.PCG64(77))
+    orders = rng.permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
+    own = orders == np.arange(REGISTERS)[:, None]
+    return np.concatenate([np.arange(REGISTERS)[:, None], orders[~own].reshape(REGISTERS, -1)], axis=1)
 
 
 def dense(held: np.ndarray) -> np.ndarray:
-    """Registers with empty ones filled from the right, marked with the distance."""
-    have = np.flatnonzero(held)
-    place = np.arange(REGISTERS)
-    donor = have[np.searchsorted(have, place) % len(have)]
-    return held[donor].astype(np.uint32) | (((donor - place) % REGISTERS).astype(np.uint32) << np.uint32(16))
+    """Registers with empty ones filled by their donors; a value bears its donor's number."""
+    orders = _donors()
+    donor = orders[np.arange(REGISTERS), (held > 0)[orders].argmax(1)]
+    return held[donor].astype(np.uint32) | (donor.astype(np.uint32) << np.uint32(16))
 
 
-def schemes(n: int, percent: int) -> tuple[bool, bool]:
-    """Whether a set of n is sketched by permutations, and whether it is parted."""
-    return 0 < n <= SMALL * 100 // percent, n >= SMALL
+def linkable(n: int, percent: int) -> bool:
+    """Whether a set of n can reach the threshold with a set that isn't equal: the next larger or smaller one."""
+    return n > 0 and 100 * n >= percent * (n + 1)
 
 
-def band_keys(held: np.ndarray, scheme: int) -> np.ndarray:
-    """One 64-bit key per band, different bands and schemes apart."""
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band, different bands apart."""
     parts = dense(held)[: BANDS * BAND].reshape(BANDS, BAND).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) + np.uint64(1000 * scheme)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(BAND):
         out = _mix(out * _C + parts[:, i])
     return out.view(np.int64)
@@ -174,11 +177,16 @@ def estimate(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) ->
 
 
 def plausible(one: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which others may reach the threshold, by size and estimate, and the estimates."""
+    """Which others may reach the threshold, by size and estimate, and the estimates.
+
+    At the threshold two sets have a union of (n + m) / (1 + t), of which `used` registers show one element each.
+    """
     t = percent / 100
     guess, used = estimate(one, n, others, sizes)
-    near = guess >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(1, used))
-    return near & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), guess
+    union = (n + sizes) / (1 + t)
+    unseen = np.clip((union - used) / np.maximum(1, union - 1), 0, 1)
+    margin = 6 * np.sqrt(t * (1 - t) / np.maximum(1, used) * unseen) + 1.5 / np.maximum(1, used)
+    return (guess >= t - margin) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), guess
 
 
 class Forest:
@@ -236,8 +244,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, by index, under the banding of the sketches."""
+def linked(documents: list[list[bytes]], k: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents, by index, under the banding of the sketches."""
+    sets = full_sets(documents, k)
     sizes = np.array([len(s) for s in sets])
     forest, tested = Forest(len(sets)), set()
 
@@ -248,46 +257,38 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         tested.add(pair)
         return similar(sets[i], sets[j], percent)
 
-    for scheme, sketch in enumerate((permuted, parted)):
-        own = np.array([i for i, s in enumerate(sets) if schemes(len(s), percent)[scheme]], np.int64)
-        if len(own) < 2:
-            continue
-        held = np.zeros((len(sets), REGISTERS), np.uint16)
-        held[own] = [sketch(sets[i]) for i in own]
-        keys = np.array([band_keys(held[i], scheme) for i in own])
-        for band in range(BANDS):
-            by = np.argsort(keys[:, band], kind="stable")
-            ordered = keys[by, band]
-            cuts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(own)]))
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                if b - a > 1:
-                    tie_bucket(forest, own[by[a:b]], held, sizes, percent, test)
+    held = np.array([registers(shingles(words, k)) for words in documents])
+    keys = np.array([band_keys(x) for x in held])
+    for band in range(BANDS):
+        by = np.argsort(keys[:, band], kind="stable")
+        ordered = keys[by, band]
+        cuts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(by)]))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if b - a > 1:
+                tie_bucket(forest, by[a:b], held, sizes, percent, test)
     return forest.ties
 
 
 def _sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    import xxhash
-
     kind = dict(docs.dtypes)["_id"]
 
     @released
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, first, second = [], [], []
-            held, keys = ([], []), ([], [])
+            n, marks, held, keys = [], [], [], []
             for text in batch.column(2):
-                s = shingles(text.as_py(), k)
-                mark = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-                n.append(len(s)), first.append(int(mark[0])), second.append(int(mark[1]))
-                for scheme, (sketch, wanted) in enumerate(zip((permuted, parted), schemes(len(s), percent), strict=True)):
-                    own = sketch(s) if wanted else None
-                    held[scheme].append(None if own is None else own.tobytes())
-                    keys[scheme].append(np.zeros(0, np.int64) if own is None else band_keys(own, scheme))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))) for own in keys]
-            cols = [pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(held[0], pa.binary()), pa.array(held[1], pa.binary()), *lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["_id", "_tag", "n", "f1", "f2", "r0", "r1", "b0", "b1"])
+                s = shingles(words_of(text.as_py()), k)
+                n.append(len(s))
+                marks.append(xxhash.xxh3_128_digest(s.tobytes()))
+                own = registers(s) if linkable(len(s), percent) else None
+                held.append(None if own is None else own.tobytes())
+                keys.append(np.zeros(0, np.int64) if own is None else band_keys(own))
+            halves = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            cols = [pa.array(n, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(held, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["_id", "_tag", "n", "f1", "f2", "regs", "bands"])
 
-    return docs.mapInArrow(made, f"_id {kind}, _tag long, n long, f1 long, f2 long, r0 binary, r1 binary, b0 array<long>, b1 array<long>")
+    return docs.mapInArrow(made, f"_id {kind}, _tag long, n long, f1 long, f2 long, regs binary, bands array<long>")
 
 
 def _groups(table: pa.Table, n_keys: int) -> Iterator[tuple[int, int]]:
@@ -325,8 +326,8 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
         out = []
         for a, b in _groups(table, 3):
             own = a + np.argsort(nodes[a:b], kind="stable")
-            sets = [shingles(texts[int(x)].as_py(), k) for x in own]
-            out += [(int(nodes[own[x]]), int(nodes[own[y]])) for x, y in linked(sets, percent)]
+            documents = [words_of(texts[int(x)].as_py()) for x in own]
+            out += [(int(nodes[own[x]]), int(nodes[own[y]])) for x, y in linked(documents, k, percent)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
@@ -352,15 +353,14 @@ def near_duplicates(
     able = sketched.where("n > 0 and _id is not null")
     reps = scratch.keep(able.groupBy("f1", "f2").agg(F.min("_id").alias("rep")))
     copies = able.join(reps, ["f1", "f2"]).where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
-    unique = able.join(reps, (able["_id"] == reps["rep"]) & (able["f1"] == reps["f1"]) & (able["f2"] == reps["f2"])).select("_id", "_tag", "n", "r0", "r1", "b0", "b1")
+    unique = able.join(reps, (able["_id"] == reps["rep"]) & (able["f1"] == reps["f1"]) & (able["f2"] == reps["f2"])).select("_id", "_tag", "n", "regs", "bands")
     unique = scratch.keep(unique.dropDuplicates(["_id", "_tag"]))
 
-    keys = unique.select("_id", "_tag", F.lit(0).alias("_s"), F.explode("b0").alias("key")).unionByName(unique.select("_id", "_tag", F.lit(1).alias("_s"), F.explode("b1").alias("key")))
+    keys = unique.select("_id", "_tag", F.explode("bands").alias("key"))
     shared = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1"))
-    routes = keys.join(shared.hint("merge"), "key").select("key", "_m", F.col("_id").alias("node"), F.col("_tag").alias("_t"), "_s")
-    routes = _in_chunks(routes, F.ceil(F.col("_m") / largest), "key", "_t", "_s")
-    regs = F.when(F.col("_s") == 0, F.col("r0")).otherwise(F.col("r1"))
-    met = routes.join(unique.hint("merge"), (F.col("node") == F.col("_id")) & (F.col("_t") == F.col("_tag"))).select("key", "i", "j", "node", "n", regs.alias("regs"))
+    routes = keys.join(shared.hint("merge"), "key").select("key", "_m", F.col("_id").alias("node"), F.col("_tag").alias("_t"))
+    routes = _in_chunks(routes, F.ceil(F.col("_m") / largest), "key", "_t")
+    met = routes.join(unique.hint("merge"), (F.col("node") == F.col("_id")) & (F.col("_t") == F.col("_tag"))).select("key", "i", "j", "node", "n", "regs")
     tasks = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     ties = scratch.keep(tasks.mapInArrow(lambda it: _tie_sketches(it, percent), "a long, b long"))
     coarse = components(scratch, ties)
