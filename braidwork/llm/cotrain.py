@@ -1,47 +1,52 @@
-"""Quality classifier: co-training of a text view and a metadata view.
-
-The text view sees the whole text as hashed byte trigrams and a few shape measures; the metadata view
-sees language, source and size alone. Both are logistic models, fitted on a bounded sample of labelled
-rows. Over rounds each labels the rows of an unlabelled pool that it is most sure of, and hands them to
-the other. Both scores are calibrated on rows held out from fitting, and a logistic model of the two
-calibrated views, fitted there too, scores every document in one pass without a shuffle.
-
-The sample is bounded by `Plan.labelled` and `Plan.pool` (rows with the least hash of their id): only their
-feature vectors reach the driver, and only the models' weights (a few thousand numbers) go out.
-
-Defined results. Null, empty or blank text: score 0, not kept. Null metadata: a value of its own. Labels
-that are null are ignored; of several labels of one document the lowest counts. Labels without
-documents are ignored. With fewer than ten labels, or a single class: score 0.5 for all texts, kept. Rows
-are scored one by one, so repeated rows, a null id and an empty table need no special care; extra
-columns are ignored.
+"""Quality classifier by co-training.
+
+Two views of a document: its text content (hashed byte trigrams, shares of kinds of characters) and its page metadata
+(language, source, size, and the page's make-up: word and line lengths, repetition of words and lines; no characters).
+Each view has a ridge logistic model, calibrated on held-out labelled rows. In every round both models score all
+documents outside the sample, and each view hands its most confident documents to the other as pseudo-labels: by rank and per class,
+so that both views give and both classes are given. A pseudo-label is the giver's calibrated chance, so that a weak view
+misleads less. Pseudo-labels of a round replace those of the round before, and
+their number grows with the rounds. The calibrated views are then combined by a model fitted on the held-out rows.
+
+What reaches the driver is bounded by `Plan`: features of `labelled` rows and of 4 * `per_round` * `rounds` pseudo-labelled
+ones, in rows, not in ids. Scoring is distributed and covers every document in every round.
+
+Defined results. Null, empty or blank text: score 0, not kept. Null language or source: a value of
+its own. Ids are integers; a null id is scored, but not learnt from; a document with several labels has the least; labels of unknown documents
+are ignored. Of rows with one id and one text, and of equal texts in the choice of pseudo-labels, one is learnt from.
+Without labels of both classes every score is 0.5 and nothing with words is rejected. Ties in rank are broken by id
+and a tag of the text. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.scratch import small_batches
+from braidwork.llm.columns import text_tag
+from braidwork.llm.grouped import released
+from braidwork.llm.scratch import Scratch, small_batches
 
 TRIGRAMS, SHAPES = 1024, 8
-SOURCES, LANGS, SIZES = 64, 16, 24
-TEXT_DIMS, META_DIMS = TRIGRAMS + SHAPES + 1, SOURCES + LANGS + SIZES + 1
+SOURCES, LANGS, BINS = 64, 16, 24
+PAGE = 6  # measures of the page, each in one of BINS bins
+TEXT_DIMS, META_DIMS = TRIGRAMS + SHAPES + 1, SOURCES + LANGS + PAGE * BINS + 1
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Bounds of the sample and the course of training."""
+    """Bounds of what is learnt from and the course of training."""
 
     labelled: int = 5000
-    pool: int = 3000
     rounds: int = 3
-    sure: float = 0.95
     per_round: int = 300
     held_out: float = 0.25
     cut: float = 0.5
@@ -70,12 +75,24 @@ def text_features(data: bytes) -> np.ndarray:
     return out
 
 
-def meta_features(lang: str | None, source: str | None, size: int) -> np.ndarray:
-    """One-hot places of language, source and order of size, and a constant."""
+def page_bins(raw: bytes) -> tuple[int, ...]:
+    """Bins of size, bytes a word, longest word, words a line, repetition of words and of lines."""
+    words, lines = raw.split(), raw.split(b"\n")
+    n = max(1, len(words))
+    measures = (
+        len(raw).bit_length(), 3 * (len(raw) / n - 2), 3 * math.log2(max(map(len, words), default=1)), 2 * math.log2(1 + n / len(lines)),
+        4 * math.log2(n / max(1, len(set(words)))), 6 * math.log2(len(lines) / len(set(lines))),
+    )
+    return tuple(min(BINS - 1, max(0, int(x))) for x in measures)
+
+
+def meta_features(lang: str | None, source: str | None, raw: bytes) -> np.ndarray:
+    """One-hot places of language, source and the page's bins, and a constant."""
     out = np.zeros(META_DIMS, np.float32)
     out[zlib.crc32(b"s" + source.encode() if source is not None else b"") % SOURCES] = 1
     out[SOURCES + zlib.crc32(b"l" + lang.encode() if lang is not None else b"") % LANGS] = 1
-    out[SOURCES + LANGS + min(SIZES - 1, int(size).bit_length())] = 1
+    for i, x in enumerate(page_bins(raw)):
+        out[SOURCES + LANGS + i * BINS + x] = 1
     out[-1] = 1
     return out
 
@@ -113,88 +130,160 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Model:
-    """Weights of both views, their calibrations, and the model that combines them."""
+    """Weights of both views, their calibrations, the model that combines them, and the course of training.
+
+    `handed` has (round, receiving view, label, documents): view 0 is the text, view 1 the metadata.
+    """
 
     text: np.ndarray
     meta: np.ndarray
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
     both: np.ndarray
+    handed: list[tuple[int, int, int, int]] = field(default_factory=list)
+
+    def views(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds of both views."""
+        return text @ self.text * self.text_scale[0] + self.text_scale[1], meta @ self.meta * self.meta_scale[0] + self.meta_scale[1]
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t = text @ self.text * self.text_scale[0] + self.text_scale[1]
-        m = meta @ self.meta * self.meta_scale[0] + self.meta_scale[1]
+        t, m = self.views(text, meta)
         return _sigmoid(t), _sigmoid(m), _sigmoid(np.stack([t, m, np.ones(len(t))], 1) @ self.both)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, plan: Plan = Plan()) -> Model | None:
-    """Train on rows whose label is 0 or 1; rows with label -1 are the pool. None if a class is missing."""
-    known = np.flatnonzero(labels >= 0)
-    if len(known) < 10 or len(set(labels[known])) < 2:
-        return None
-    every = max(2, round(1 / plan.held_out))
-    spot = np.arange(len(known)) % every == 0
-    held, train = known[spot], known[~spot]
-    if len(set(labels[held])) < 2 or len(set(labels[train])) < 2:
-        held = train = known
-    pool = np.flatnonzero(labels < 0)
-    views = (text, meta)
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view was handed
-
-    def fitted(v: int) -> tuple[np.ndarray, tuple[float, float]]:
-        extra = np.array(sorted(given[v]), np.int64)
-        rows = np.concatenate([train, extra])
-        y = np.concatenate([labels[train].astype(float), [given[v][i] for i in extra.tolist()]])
-        w = fit(views[v][rows], y)
-        return w, _calibrate(views[v][held] @ w, labels[held])
-
-    for _ in range(plan.rounds):
-        for v in (0, 1):
-            w, (a, b) = fitted(v)
-            p = _sigmoid(views[v][pool] @ w * a + b) if len(pool) else np.zeros(0)
-            for label, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                sure = [int(pool[i]) for i in order if (p[i] if label else 1 - p[i]) >= plan.sure and int(pool[i]) not in given[1 - v]]
-                given[1 - v].update(dict.fromkeys(sure[: plan.per_round], label))
-    (wt, st), (wm, sm) = fitted(0), fitted(1)
-    z = np.stack([text[held] @ wt * st[0] + st[1], meta[held] @ wm * sm[0] + sm[1], np.ones(len(held))], 1)
-    both = np.array([1.0, 0.0, 0.0])
-    y = labels[held]
-    for _ in range(30):  # Newton, drawn towards the text view alone
-        p = _sigmoid(z @ both)
-        slope = z.T @ (p - y) + 1.0 * (both - [1.0, 0.0, 0.0])
-        both = both - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.eye(3), slope)
-    return Model(wt, wm, st, sm, both)
+@dataclass
+class Sample:
+    """Features and labels (0 or 1) of the labelled rows, parted once into a training and a held-out part."""
+
+    text: np.ndarray
+    meta: np.ndarray
+    labels: np.ndarray
+    held: np.ndarray
+    train: np.ndarray
+
+    @classmethod
+    def parted(cls, text: np.ndarray, meta: np.ndarray, labels: np.ndarray, held_out: float) -> Sample | None:
+        """None if a class is missing or there are hardly any rows."""
+        if len(labels) < 10 or len(set(labels.tolist())) < 2:
+            return None
+        spot = np.arange(len(labels)) % max(2, round(1 / held_out)) == 0
+        held, train = np.flatnonzero(spot), np.flatnonzero(~spot)
+        if len(set(labels[held].tolist())) < 2 or len(set(labels[train].tolist())) < 2:
+            held = train = np.arange(len(labels))
+        return cls(text, meta, labels, held, train)
+
+    def fitted(self, given: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
+        """The model; `given` has for each view the features and labels that the other one handed it."""
+        found = []
+        for v, own in enumerate((self.text, self.meta)):
+            x, y = own[self.train], self.labels[self.train].astype(float)
+            if given is not None and len(given[v][1]):
+                x, y = np.concatenate([x, given[v][0]]), np.concatenate([y, given[v][1]])
+            w = fit(x, y)
+            found.append((w, _calibrate(own[self.held] @ w, self.labels[self.held])))
+        (wt, st), (wm, sm) = found
+        z = np.stack([self.text[self.held] @ wt * st[0] + st[1], self.meta[self.held] @ wm * sm[0] + sm[1], np.ones(len(self.held))], 1)
+        start = both = np.array([0.5, 0.5, 0.0])
+        y = self.labels[self.held]
+        for _ in range(30):  # Newton, drawn towards the mean of both views
+            p = _sigmoid(z @ both)
+            slope = z.T @ (p - y) + (both - start)
+            both = both - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.eye(3), slope)
+        return Model(wt, wm, st, sm, both)
+
+
+def _rows_to_features(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Raw texts and both views of rows (_, text, lang, source)."""
+    raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(1)]
+    text = np.stack([text_features(x) for x in raw])
+    meta = np.stack([meta_features(a.as_py(), b.as_py(), x) for a, b, x in zip(batch.column(2), batch.column(3), raw, strict=True)])
+    return raw, text, meta
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """(label, text, meta): feature vectors as bytes."""
+    """Rows (key, text, lang, source) to (key, text, meta): feature vectors as bytes."""
 
+    @released
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(1)]
-            meta = [meta_features(a.as_py(), b.as_py(), len(x)) for a, b, x in zip(batch.column(2), batch.column(3), raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_features(x).tobytes() for x in raw], pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary()), batch.column(4)], names=["id", "text", "meta", "label"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                _, text, meta = _rows_to_features(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["key", "text", "meta"])
 
-    return rows.mapInArrow(made, "id long, text binary, meta binary, label int")
+    return rows.mapInArrow(made, f"key {rows.dtypes[0][1]}, text binary, meta binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", plan: Plan = Plan()) -> Model | None:
-    """The model, from a bounded sample of labelled and unlabelled documents."""
-    small_batches(docs.sparkSession)
-    by_hash = F.xxhash64(F.lit(41), "_id")
-    ids = docs.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
-    marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.least(F.lit(1), F.min("_label")).alias("_label"))
-    known = marked.join(ids, "_id", "left_semi").orderBy(by_hash, "_id").limit(plan.labelled)
-    pool = ids.join(marked, "_id", "left_anti").orderBy(by_hash, "_id").limit(plan.pool).withColumn("_label", F.lit(-1))
-    sample = known.unionByName(pool)  # `labelled` + `pool` rows of two numbers
-    own = docs.select(F.col(id_col).cast("long").alias("_i"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
-    rows = own.join(F.broadcast(sample), F.col("_i") == F.col("_id")).select("_i", "_text", "_lang", "_source", "_label")
-    got = sorted(_features(rows).collect(), key=lambda r: (r["id"], r["text"], r["meta"]))
+def _collected(docs: DataFrame, wanted: DataFrame, most: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Extra values and features of the documents that `wanted` names by (_i, _t, more), one row for each of these.
+
+    `wanted` has at most `most` rows; rows of the documents that share id and text count once.
+    """
+    same = (F.col("_id") == F.col("_i")) & (F.col("_tag") == F.col("_t"))
+    met = docs.join(F.broadcast(wanted.limit(most)), same).groupBy("_i", "_t", "more").agg(F.min_by(F.struct("_text", "_lang", "_source"), F.struct("_lang", "_source")).alias("_row"))
+    rows = met.select(F.struct("_i", "_t", "more").alias("key"), "_row._text", "_row._lang", "_row._source")
+    got = sorted(_features(rows).limit(most).collect(), key=lambda r: (r["key"]["_i"], r["key"]["_t"], r["key"]["more"]))
     if not got:
+        return [], np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32)
+    view = lambda name, dims: np.frombuffer(b"".join(r[name] for r in got), np.float32).reshape(-1, dims)
+    return [r["key"]["more"] for r in got], view("text", TEXT_DIMS), view("meta", META_DIMS)
+
+
+def _log_odds(docs: DataFrame, model: Model) -> DataFrame:
+    """(_id, _tag, t, m) of documents that have words: calibrated log-odds of both views."""
+
+    @released
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw, text, meta = _rows_to_features(part)
+                t, m = model.views(text, meta)
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(4), pa.array(t, pa.float64()), pa.array(m, pa.float64())], names=["_id", "_tag", "t", "m"])
+                yield out.filter(pa.array([bool(x.strip()) for x in raw], pa.bool_()))
+
+    return docs.select("_id", "_text", "_lang", "_source", "_tag").mapInArrow(scored, "_id long, _tag long, t double, m double")
+
+
+def _confident(odds: DataFrame, many: dict[int, int]) -> DataFrame:
+    """(_i, _t, more) of the surest rows by either view and for either label; `more` is (2 * receiving view + label, log-odds of the giver)."""
+    picks = []
+    for receiver, column in ((1, "t"), (0, "m")):
+        for label in (0, 1):
+            order = F.desc(column) if label else F.asc(column)
+            picks.append(odds.orderBy(order, "_id", "_tag").limit(many[label]).select(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), F.struct(F.lit(2 * receiver + label).alias("code"), F.col(column).alias("odds")).alias("more")))
+    return functools.reduce(DataFrame.unionByName, picks)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", plan: Plan = Plan()) -> Model | None:
+    """The model, from a bounded sample of labelled documents and pseudo-labels among all others."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "cotrain")
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), text_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")).where("_id is not null")
+    marked = labels.select(F.col(id_col).cast("long").alias("_l"), F.col(label_col).cast("int").alias("_label")).where("_l is not null and _label is not null").groupBy("_l").agg(F.least(F.lit(1), F.min("_label")).alias("more"))
+    by_hash = F.xxhash64(F.lit(41), "_i", "_t")
+    known = own.select(F.col("_id").alias("_i"), F.col("_tag").alias("_t")).distinct().join(marked, F.col("_i") == F.col("_l")).select("_i", "_t", "more")
+    sample = scratch.keep(known.orderBy(by_hash, "_i", "_t").limit(plan.labelled))
+    found, text, meta = _collected(own, sample, plan.labelled)
+    held = Sample.parted(text, meta, np.array(found), plan.held_out)
+    if held is None:
         return None
-    text = np.frombuffer(b"".join(r["text"] for r in got), np.float32).reshape(-1, TEXT_DIMS)
-    meta = np.frombuffer(b"".join(r["meta"] for r in got), np.float32).reshape(-1, META_DIMS)
-    return co_train(text, meta, np.array([r["label"] for r in got]), plan)
+    open_ = own.join(F.broadcast(sample.select("_i").distinct()), F.col("_id") == F.col("_i"), "left_anti")  # `labelled` ids at most
+    model, handed, rate = held.fitted(), [], float(held.labels.mean())
+    for k in range(1, plan.rounds + 1):
+        odds = scratch.keep(_log_odds(open_, model).groupBy("_tag").agg(F.min(F.struct("_id", "t", "m")).alias("_x")).select("_x._id", "_tag", "_x.t", "_x.m"))
+        n = odds.count()
+        # half of what a class's rate lets expect, at most: no document can be surest of both
+        many = {c: min(plan.per_round * k, int(n * r / 2)) for c, r in ((0, 1 - rate), (1, rate))}
+        picks, text, meta = _collected(open_, _confident(odds, many), 4 * plan.per_round * plan.rounds)
+        scratch.drop(odds)
+        codes, chances = np.array([x["code"] for x in picks], np.int64), _sigmoid(np.array([x["odds"] for x in picks]))
+        handed += [(k, v, c, int((codes == 2 * v + c).sum())) for v in (0, 1) for c in (0, 1)]
+        given = tuple((x[codes // 2 == v], chances[codes // 2 == v]) for v, x in ((0, text), (1, meta)))
+        model = held.fitted(given)
+    model.handed = handed
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = 0.5) -> DataFrame:
@@ -202,6 +291,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
+    @released
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -209,12 +299,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             blank = np.zeros(n, bool)
             for at in range(0, n, 256):
                 part = batch.slice(at, 256)
-                raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in part.column(1)]
-                blank[at : at + len(raw)] = [not x.strip() for x in raw]
-                if model is not None and raw:
-                    text = np.stack([text_features(x) for x in raw])
-                    meta = np.stack([meta_features(a.as_py(), b.as_py(), len(x)) for a, b, x in zip(part.column(2), part.column(3), raw, strict=True)])
+                if model is not None:
+                    raw, text, meta = _rows_to_features(part)
                     out[:, at : at + len(raw)] = model.scores(text, meta)
+                else:
+                    raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in part.column(1)]
+                blank[at : at + len(raw)] = [not x.strip() for x in raw]
             out[:, blank] = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out), pa.array((out[2] >= cut) & ~blank)], names=[id_col, "text_score", "meta_score", "score", "kept"])
 
