@@ -7,6 +7,7 @@ import functools
 import re
 import unicodedata
 from collections.abc import Callable
+from dataclasses import dataclass
 
 # Devanagari letters and signs with their Latin readings. Consonants carry the inherent vowel.
 VOWELS = {
@@ -310,44 +311,64 @@ def spells_english(word: str) -> bool:
     return bool(re.search("tion|ing|ment|ous|que|wh|ck$|ed$|ly$", word) or (len(word) > 6 and re.search("[qwxf]", word)))
 
 
+#: The labels of the normaliser's rules, in order of precedence, each with the language it gives (none: the
+#: neighbours decide), and the labels of decided words.
+LABELS = (
+    ("already", "hi"), ("single", "en"), ("force", "hi"), ("name", "hi"), ("ambig", None), ("english", "en"), ("lexicon", "hi"), ("name?", "hi"), ("looks-en", "en"), ("rule", "hi"),
+)
+DECIDED = {"en": "ambig-en", "hi": "ambig-hi"}
+#: How far a neighbour's vote reaches, and what the nearest weighs.
+REACH, NEAREST = 2, 2
+
+
+@dataclass
+class Span:
+    """A word of the text with its spelling in the result, its language and the rule that settled it."""
+
+    source: str
+    spelled: str
+    language: str | None
+    how: str
+
+
+def _readings(word: str, first: bool, force: dict, names: dict, ambiguous: dict, english: set, lexicon: dict) -> dict[str, str]:
+    """What each rule that applies to a word makes of it."""
+    low = word.lower()
+    tables = {"force": force, "name": names, "ambig": ambiguous, "lexicon": lexicon}
+    out = {how: held[low] for how, held in tables.items() if low in held}
+    kept = {"already": bool(_DEVA_RUN.search(word)), "single": len(word) == 1, "english": low in english, "looks-en": spells_english(low)}
+    out |= {how: word for how, applies in kept.items() if applies}
+    ruled = devanagari(low)
+    return out | {"rule": ruled} | ({"name?": ruled} if word[:1].isupper() and not first else {})
+
+
+def _vote(spans: list[Span], at: int) -> int:
+    """English neighbours less Hindi ones, nearer ones weighing more; words settled before count as settled."""
+    total = 0
+    for step in range(1, REACH + 1):
+        for other in (at - step, at + step):
+            if 0 <= other < len(spans):
+                total += (NEAREST + 1 - step) * {"en": 1, "hi": -1}.get(spans[other].language, 0)
+    return total
+
+
 def mixed_normalise(text: str | None, force: dict, names: dict, ambiguous: dict, english: set, lexicon: dict) -> tuple[str, list[tuple[str, str, str]]]:
     """Romanised Hindi to Devanagari, English left; spans (source, language, how). Doubtful words follow their neighbours."""
-    text = text or ""
+    text, spans, out, at = text or "", [], [], 0
     found = list(_WORD.finditer(text))
-    spans: list[list] = []
     for i, m in enumerate(found):
-        w, low = m[0], m[0].lower()
-        if re.search("[ऀ-ॿ]", w):
-            pick = (w, "hi", "already")
-        elif len(w) == 1:
-            pick = (w, "en", "single")
-        elif low in force:
-            pick = (force[low], "hi", "force")
-        elif low in names:
-            pick = (names[low], "hi", "name")
-        elif low in ambiguous:
-            pick = (ambiguous[low], None, "ambig")
-        elif low in english:
-            pick = (w, "en", "english")
-        elif low in lexicon:
-            pick = (lexicon[low], "hi", "lexicon")
-        elif i and w[0].isupper():
-            pick = (devanagari(low), "hi", "name?")
-        elif spells_english(low):
-            pick = (w, "en", "looks-en")
-        else:
-            pick = (devanagari(low), "hi", "rule")
-        spans.append([w, *pick])
-    for i, (w, _, lang, _) in enumerate(spans):
-        if lang is None:
-            near = [(spans[j][2], 3 - abs(i - j)) for j in range(max(0, i - 2), min(len(spans), i + 3)) if j != i]
-            vote = sum(n * ((x == "en") - (x == "hi")) for x, n in near)
-            spans[i][1:] = [w, "en", "ambig-en"] if vote > 0 else [spans[i][1], "hi", "ambig-hi"]
-    out, at = "", 0
-    for m, s in zip(found, spans, strict=True):
-        out += text[at : m.start()] + s[1]
+        readings = _readings(m[0], not i, force, names, ambiguous, english, lexicon)
+        how, language = next(x for x in LABELS if x[0] in readings)
+        spans.append(Span(m[0], readings[how], language, how))
+    for i, span in enumerate(spans):
+        if span.language is None:
+            span.language = "en" if _vote(spans, i) > 0 else "hi"
+            span.how = DECIDED[span.language]
+            span.spelled = span.source if span.language == "en" else span.spelled
+    for m, span in zip(found, spans, strict=True):
+        out += [text[at : m.start()], span.spelled]
         at = m.end()
-    return out + text[at:], [(s[0], s[2], s[3]) for s in spans]
+    return "".join(out) + text[at:], [(x.source, x.language, x.how) for x in spans]
 
 
 def fnv_seed(base: int, key: str) -> int:

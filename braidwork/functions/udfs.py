@@ -37,6 +37,12 @@ cer = _pair(indic.cer)
 cer_spaced = _pair(indic.cer_spaced)
 wer = _pair(indic.wer)
 similarity = _pair(indic.similarity)
+distance = _pair(indic.distance, T.LongType())
+
+
+def seeds(base: int):
+    """A 31-bit seed of a key."""
+    return _text(lambda key: indic.fnv_seed(base, key), T.LongType())
 
 
 def token_chunks(most: int):

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.functions import columns, udfs
 from braidwork.functions.columns import harmonic_mean
+from braidwork.operators import neardup
 
 
 @dataclass(frozen=True)
@@ -83,3 +85,42 @@ def best_of_n(rows: DataFrame, group: str, value: str) -> DataFrame:
 def every_kth(rows: DataFrame, k: int, group: str, order: str) -> DataFrame:
     """Every k-th row of each group, for replay."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__n") % k == 0).drop("__n")
+
+
+def winner_report(won: DataFrame) -> DataFrame:
+    """(n_prompts, n_winner, n_no_eligible, n_below_gain, mean_gain) of what `winners` gives; the mean over known gains."""
+    count = lambda status: F.count_if(F.col("status") == status).alias(f"n_{status}")
+    return won.agg(F.count("*").alias("n_prompts"), *map(count, ("winner", "no_eligible", "below_gain")), F.avg("gain").alias("mean_gain"))
+
+
+def with_replay(won: DataFrame, pool: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """Winners and, for `share` of their number, rows of the pool in a seeded order; column `origin` tells them apart."""
+    from braidwork.operators.ranking import running
+
+    ordered = running(pool.withColumn("__turn", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))), [], ["__turn", key], "__n")
+    many = won.agg(F.floor(F.count("*") * share).alias("__many"))  # one row
+    replay = ordered.join(F.broadcast(many), F.col("__n") < F.col("__many")).select(*pool.columns)
+    return won.withColumn("origin", F.lit("winner")).unionByName(replay.withColumn("origin", F.lit("replay")))
+
+
+def verified(rows: DataFrame, order: str, threshold: float = 0.85, most_roman: int = 1, least_consistency: float = 0.55, hindi_roman: tuple[str, ...] = (), stop: tuple[str, ...] = ()) -> DataFrame:
+    """Prompts (text, ref_surface, ...) with `reason` (null: kept), `cs_mode`, `cs_density`, `consistency`: the first check that fails.
+
+    near_duplicate of an earlier kept text, too_short or token_repetition, script_violation_hindi_in_latin,
+    ref_surface_mismatch, corrected_bin_low or corrected_bin_none.
+    """
+    text = F.coalesce("text", F.lit(""))
+    signed = neardup.signed(rows.withColumn("__c", udfs.compare_space(text)), "__c")
+    first = neardup.kept(signed.select(order, "sig"), order, threshold).select(F.col(order).alias("__o"))
+    lists = [F.array(*map(F.lit, x)).cast("array<string>") for x in (hindi_roman, stop)]
+    marked = F.transform(columns.tokens(text), lambda t: F.struct(t.alias("t"), columns.lexicon_tag(t, *lists).alias("g")))
+    out = rows.join(first, F.col(order) == F.col("__o"), "left").withColumn("__m", marked)
+    tags = F.transform("__m", lambda m: m["g"])
+    roman = F.size(F.filter("__m", lambda m: (m["g"] == "hi") & m["t"].rlike(r"^[A-Za-z'\-]+$")))
+    out = out.withColumn("cs_mode", columns.mixing_bin(columns.mixing_index(tags))).withColumn("cs_density", F.round(columns.switch_density(tags), 3))
+    out = out.withColumn("__s", udfs.similarity("text", "ref_surface")).withColumn("consistency", F.round("__s", 2))
+    reason = (
+        F.when(F.col("__o").isNull(), "near_duplicate").when(columns.degenerate(text) != "", columns.degenerate(text)).when(roman > most_roman, "script_violation_hindi_in_latin")
+        .when(F.col("__s") < least_consistency, "ref_surface_mismatch").when(~F.col("cs_mode").isin("high", "med"), F.concat(F.lit("corrected_bin_"), "cs_mode"))
+    )
+    return out.withColumn("reason", reason).select(*rows.columns, "reason", "cs_mode", "cs_density", "consistency")

@@ -69,3 +69,8 @@ def paired(scores: DataFrame, ref: str, cand: str) -> DataFrame:
     side = lambda s: F.max(F.when(F.col("system") == s, F.col("value")))
     both = known.where(F.col("system").isin(ref, cand)).groupBy("axis", "utt_id").agg(side(ref).alias("ref"), side(cand).alias("cand"))
     return both.where("ref is not null and cand is not null").withColumn("delta", F.col("cand") - F.col("ref"))
+
+
+def base_and_candidate(base: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Every row of the base panel with its candidate's columns, null where it has none."""
+    return base.join(candidates, key, "left")

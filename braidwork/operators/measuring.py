@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.ranking import running
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], *keys: str) -> DataFrame:
+    """(keys, q): linear percentiles of a column. Equal values are counted first, then ranked by range-partitioned
+    running sums, so that no task holds the values of a key."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    ranked = running(counted, [*keys], ["__x"], "__before", F.col("__c"))
+    sizes = counted.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("__c").alias("__size"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rows = ranked.join(F.broadcast(sizes) if not keys else sizes, same)
+    place = lambda share: F.lit(share) * (F.col("__size") - 1)
+    holds = lambda at: (F.col("__before") <= at) & (at < F.col("__before") + F.col("__c"))
+    ends = [F.max(F.when(holds(end(place(share))), F.col("__x"))).alias(f"__{i}{side}") for i, share in enumerate(shares) for side, end in (("a", F.floor), ("b", F.ceil))]
+    found = rows.groupBy(*keys).agg(F.max("__size").alias("__size"), *ends)
+    between = [F.col(f"__{i}a") + (F.col(f"__{i}b") - F.col(f"__{i}a")) * (place(share) - F.floor(place(share))) for i, share in enumerate(shares)]
+    return found.select(*keys, F.array(*between).alias("q"))
+
 
 def described(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, mean, extremes and linear percentiles of a column, zero where there is nothing."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95))))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("__q"))
+    rest = df.groupBy(*[F.col(k).alias(f"__o{i}") for i, k in enumerate(keys)]).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__o{i}"))
+    out = rest.join(quantiles(df, value, (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95), *keys), same, "left")
     names = ("p05", "p10", "p25", "p50", "p75", "p90", "p95")
     zero = lambda c, name: F.coalesce(c.cast("double"), F.lit(0.0)).alias(name)
-    return out.select(*keys, "n", zero(F.col("mean"), "mean"), zero(F.col("least"), "least"), zero(F.col("most"), "most"), *[zero(F.get("__q", F.lit(i)), n) for i, n in enumerate(names)])
+    return out.select(*[F.col(f"__o{i}").alias(k) for i, k in enumerate(keys)], "n", zero(F.col("mean"), "mean"), zero(F.col("least"), "least"), zero(F.col("most"), "most"), *[zero(F.get("q", F.lit(i)), n) for i, n in enumerate(names)])
 
 
 def swept(df: DataFrame, recalls: list[float], cers: list[float], recall: str = "recall", cer: str = "cer") -> DataFrame:
@@ -26,8 +49,9 @@ def swept(df: DataFrame, recalls: list[float], cers: list[float], recall: str =
 
 def calibrated(df: DataFrame, least_recall: float = 0.6, most_cer: float = 0.5, recall: str = "recall", cer: str = "cer") -> DataFrame:
     """(tau_recall, tau_cer, n, kept): thresholds at the tenth and ninetieth percentiles, bounded, and what they keep."""
-    tau = df.agg(
-        F.round(F.greatest(F.lit(least_recall), F.percentile(recall, 0.1)), 3).alias("tau_recall"), F.round(F.least(F.lit(most_cer), F.percentile(cer, 0.9)), 3).alias("tau_cer")
+    low, high = quantiles(df, recall, (0.1,)), quantiles(df, cer, (0.9,)).withColumnRenamed("q", "r")
+    tau = low.crossJoin(F.broadcast(high)).select(
+        F.round(F.greatest(F.lit(least_recall), F.get("q", F.lit(0))), 3).alias("tau_recall"), F.round(F.least(F.lit(most_cer), F.get("r", F.lit(0))), 3).alias("tau_cer")
     )
     both = df.select(recall, cer).crossJoin(F.broadcast(tau))  # one row
     keep = (F.col(recall) >= F.col("tau_recall")) & (F.col(cer) <= F.col("tau_cer"))
@@ -102,3 +126,35 @@ def variance_parts(df: DataFrame, axis: str, unit: str, value: str) -> DataFrame
     n0 = F.try_divide(F.col("N") - F.col("n2") / F.col("N"), F.col("a") - 1)
     t = t.withColumn("between", F.greatest(F.lit(0.0), F.try_divide(msb - F.col("within"), n0)))
     return t.select(axis, "between", "within", F.try_divide("between", F.col("between") + F.col("within")).alias("icc"))
+
+
+def flag(flags: Column, name: str, missing: str = "unknown") -> Column:
+    """The value of the first flag `name:value`."""
+    first = F.get(F.filter(flags, lambda x: x.startswith(f"{name}:")), F.lit(0))
+    return F.coalesce(F.substring(first, len(name) + 2, 1 << 30), F.lit(missing))
+
+
+def histograms(df: DataFrame, **kinds: Column) -> DataFrame:
+    """(kind, value, n): counts of the values of several columns in one pass."""
+    cells = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in kinds.items()])
+    return df.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.value").agg(F.count("*").alias("n"))
+
+
+def repetition_alarms(df: DataFrame, rep: str = "rep_4gram") -> DataFrame:
+    """(mean_rep, n_repeating): the mean repetition, nulls as zero, and the rows that repeat anything."""
+    value = F.coalesce(F.col(rep), F.lit(0.0))
+    return df.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean_rep"), F.count_if(value > 0).alias("n_repeating"))
+
+
+def collapse(student: DataFrame, gold: DataFrame) -> DataFrame:
+    """Entropy and repetition of two one-row measures (entropy, rep), and the student's less the gold's."""
+    both = student.select(F.col("entropy").alias("student_entropy"), F.col("rep").alias("student_rep")).crossJoin(F.broadcast(gold.select(F.col("entropy").alias("gold_entropy"), F.col("rep").alias("gold_rep"))))
+    return both.withColumn("entropy_delta", F.col("student_entropy") - F.col("gold_entropy")).withColumn("rep_delta", F.col("student_rep") - F.col("gold_rep"))
+
+
+def longest_runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, longest): the longest run of equal neighbours in order. Numbers within a key and within a key's value differ by
+    a constant along a run; both come from range-partitioned running counts, so that no task sees a whole key."""
+    rows = running(running(df.select(key, order, value), [key], [order], "__n"), [key, value], [order], "__m")
+    runs = rows.groupBy(key, value, (F.col("__n") - F.col("__m")).alias("__run")).agg(F.count("*").alias("__c"))
+    return runs.groupBy(key).agg(F.max("__c").alias("longest"))

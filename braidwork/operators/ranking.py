@@ -2,7 +2,7 @@
 
 `running` numbers or sums rows in a total order by range-partitioning them, so a key with most of the rows is
 spread over many tasks. The dealt rows are written to the folder in spark.checkpoint.dir, which all executors
-share; a temporary folder of this machine stands in only where that is unset.
+share. Only a session whose executors are this machine's own may leave that unset; it gets a temporary folder.
 """
 
 from __future__ import annotations
@@ -14,9 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def require_local(spark: SparkSession) -> None:
+    """Machine-local folders serve local masters alone."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        require_local(spark)
         found = f"file://{tempfile.mkdtemp(prefix='braidwork-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -139,10 +147,14 @@ def dealt(df: DataFrame, order: list[str], n: int, group: str | None = None) ->
     return df.join(turns, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
+def seeded(seed: int, key: Column) -> Column:
+    """A reproducible draw of a key from 0 to 999,999: the first 32 bits of the MD5 of "seed:key"."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("long") % 1_000_000
+
+
 def split_groups(df: DataFrame, group: str, share: float, seed: int = 7) -> DataFrame:
     """Column `partition`: a share of the groups to dev, whole groups only, by a seeded hash of the group."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(1_000_000))
-    return df.withColumn("partition", F.when(draw < int(share * 1_000_000), "dev").otherwise("train"))
+    return df.withColumn("partition", F.when(seeded(seed, F.col(group)) < int(share * 1_000_000), "dev").otherwise("train"))
 
 
 def split_exact(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:

@@ -29,4 +29,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 # the families fill the tables above
-from braidwork.plans import aggregate_queries, join_queries, selection_queries, text_queries  # noqa: E402, F401
+from braidwork.plans import aggregate_queries, join_queries, report_queries, selection_queries, text_queries  # noqa: E402, F401

@@ -28,9 +28,9 @@ select 'u' || cast(l_orderkey as string) as utt_id, l_linenumber as cand_id,
   l_quantity / 5 as dur, cast(l_partkey % 100 as double) / 180 as silence_ratio, cast(l_suppkey % 10 as double) / 28 as ngram_rep, l_returnflag as voice
 from lineitem"""
 SCORES = """
-select 'ref' as system, l_linestatus as axis, 'u' || cast(l_orderkey as string) as utt_id, case when l_partkey % 20 = 0 then null else l_quantity / 50 end as value from lineitem where l_linenumber = 1
-union all
-select 'cand', l_linestatus, 'u' || cast(l_orderkey as string), l_quantity / 50 + 0.01 from lineitem where l_linenumber = 2"""
+select case when l_linenumber % 2 = 1 then 'ref' else 'cand' end as system, l_linestatus as axis,
+  'u' || cast(l_orderkey as string) || '_' || cast(floor((l_linenumber + 1) / 2) as string) as utt_id,
+  case when l_linenumber % 2 = 0 then l_quantity / 50 + 0.01 when l_partkey % 20 = 0 then null else l_quantity / 50 end as value from lineitem"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

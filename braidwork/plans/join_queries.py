@@ -245,6 +245,7 @@ def a21_event_funnel(spark, sf):
     return incremental.funnel(table(spark, sf, "events"), ["view", "click", "purchase"])
 
 
-@query("select distinct user_id from events where event_type = 'view' and user_id not in (select user_id from events where event_type = 'purchase')")
+@query("select distinct user_id from events where event_type = 'signup' and value > 90 and user_id not in (select user_id from events where event_type = 'purchase' and value > 90)")
 def a21_wasted(spark, sf):
-    return incremental.wasted(table(spark, sf, "events"), "view", "purchase")
+    e = table(spark, sf, "events").where("value > 90")
+    return incremental.wasted(e, "signup", "purchase")

@@ -11,7 +11,7 @@ from braidwork.plans.inputs import CANDIDATES, CLIPS, candidates, clips
 from braidwork.session import table
 
 K = f"with k as ({CLIPS})"
-HARD = f"(select * from ({CLIPS}) where not (cmi_bin = 'high' and ord % 3 <> 0))"
+HARD = f"(select * replace (case when cmi_bin = 'high' and ord % 3 <> 0 then 'none' else cmi_bin end as cmi_bin) from ({CLIPS}))"
 QUOTA = f"""with b(cmi_bin, ord) as (values ('none', 0), ('low', 1), ('med', 2), ('high', 3)),
 c as (select b.cmi_bin, b.ord, count(k.ord) as n from b left join {HARD} k on k.cmi_bin = b.cmi_bin group by 1, 2),
 h as (select greatest(round_even(700 * 0.2, 0), round_even(700 * (select n from c where cmi_bin = 'high') / sum(n), 0))::bigint as hq, sum(n) filter (where cmi_bin <> 'high') as rest from c),
@@ -20,7 +20,8 @@ f as (select cmi_bin, ord, n, case when row_number() over (order by cmi_bin = 'h
 
 
 def _uneven(spark, sf):
-    return clips(spark, sf).where("not (cmi_bin = 'high' and ord % 3 <> 0)")
+    """All clips, two thirds of the high ones counted as none, so that quotas and supply differ."""
+    return clips(spark, sf).withColumn("cmi_bin", F.expr("case when cmi_bin = 'high' and ord % 3 <> 0 then 'none' else cmi_bin end"))
 
 
 @query(f"{QUOTA} select cmi_bin, n, quota from f")
@@ -80,11 +81,14 @@ def f17_first_seen(spark, sf):
     return first_wins(clips(spark, sf).select("corpus_id", "voice", "ord"), ["corpus_id"], "ord")
 
 
-@query("select 0::bigint as on_both, true as near_share")
+SIDE = "case when ('0x' || left(md5('7:' || corpus_id), 8))::bigint % 1000000 < 200000 then 'dev' else 'train' end"
+
+
+@query(f"{K} select ord, corpus_id, {SIDE} as partition, count(distinct {SIDE}) over (partition by corpus_id) as sides from k")
 def h05_h06_leak_free_split(spark, sf):
-    s = split_groups(clips(spark, sf).select("corpus_id", "ord"), "corpus_id", 0.2)
-    per = s.groupBy("corpus_id").agg(F.count_distinct("partition").alias("sides"), F.max((F.col("partition") == "dev").cast("int")).alias("dev"))
-    return per.agg(F.count_if(F.col("sides") > 1).alias("on_both"), (F.abs(F.avg("dev") - 0.2) < 0.1).alias("near_share"))
+    s = split_groups(clips(spark, sf).select("ord", "corpus_id"), "corpus_id", 0.2)
+    sides = s.groupBy("corpus_id").agg(F.count_distinct("partition").alias("sides"))
+    return s.join(sides, "corpus_id").select("ord", "corpus_id", "partition", "sides")
 
 
 @query()
@@ -129,10 +133,18 @@ def e38_best_of_n(spark, sf):
     return rounded(choosing.best_of_n(candidates(spark, sf), "utt_id", "utmos"))
 
 
-@query(f"{RW}, w as (select utt_id, max(ok::int) as any_ from s group by 1) select case when any_ = 0 then 'no_eligible' else 'some' end as status, count(*) as n from w group by 1")
+WON = f"{RW}, w as (select utt_id, arg_max(ra, struct_pack(o := ok::int, t := tot, i := -cand_id)) as r, max(ok::int) as any_, first(base) as base from s group by 1), x as (select utt_id, case when any_ = 1 then round(r - base, 4) end as gain, case when any_ = 0 then 'no_eligible' when round(r - base, 4) < 0.02 then 'below_gain' else 'winner' end as status from w)"
+
+
+@query(f"{WON} select count(*) as n_prompts, count(*) filter (where status = 'winner') as n_winner, count(*) filter (where status = 'no_eligible') as n_no_eligible, count(*) filter (where status = 'below_gain') as n_below_gain, round(avg(gain), 4) as mean_gain from x")
 def e33_winner_report(spark, sf):
-    per = _rewarded(spark, sf).groupBy("utt_id").agg(F.max(F.col("eligible").cast("int")).alias("a"))
-    return per.groupBy(F.when(F.col("a") == 0, "no_eligible").otherwise("some").alias("status")).agg(F.count("*").alias("n"))
+    return rounded(choosing.winner_report(choosing.winners(_rewarded(spark, sf), 0.02)), 4)
+
+
+@query(f"{WON}, o as (select utt_id, row_number() over (order by md5('11:' || utt_id), utt_id) as n from x where status <> 'winner'), k as (select count(*) filter (where status = 'winner') as n from x) select utt_id, 'winner' as origin from x where status = 'winner' union all select o.utt_id, 'replay' from o, k where o.n <= k.n // 2")
+def h07_replay_mix(spark, sf):
+    w = choosing.winners(_rewarded(spark, sf), 0.02).select("utt_id", "status")
+    return choosing.with_replay(w.where("status = 'winner'").select("utt_id"), w.where("status <> 'winner'").select("utt_id"), "utt_id", 0.5, 11)
 
 
 @query("with t as (select event_type, lower(event_type) as w, count(*) as n, min(event_id) as seen from events group by all) select event_type, n, row_number() over (order by n desc, seen) as rank from t")

@@ -16,7 +16,16 @@ TAG = r"case when regexp_matches(x, '[\x{0900}-\x{097F}]') then 'hi' when regexp
 TAGGED = f"with t as ({TEXTS}), g as (select doc_id, lang, text, list_transform({TOK}, lambda x: {TAG}) as tags from t)"
 
 
-def _fold_sql(col: str, letters: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> str:
+#: Letters beyond ASCII that the tables hold; the twins fold them one by one, and count them as one byte in distances.
+ACCENTED = "ßäçèéêíñóöü"
+
+
+def _bytes_sql(col: str) -> str:
+    """Letters beyond ASCII as control characters, one to one: the twin's distance counts bytes."""
+    return "translate(" + col + ", '" + ACCENTED + "', " + " || ".join(f"chr({i})" for i in (1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16)) + ")"
+
+
+def _fold_sql(col: str, letters: str = "abcdefghijklmnopqrstuvwxyz0123456789" + ACCENTED) -> str:
     """Runs of a letter as one, without back-references."""
     for c in letters:
         col = f"regexp_replace({col}, '{c}+', '{c}', 'g')"
@@ -43,7 +52,7 @@ def i18_switch_density(spark, sf):
 
 @query(f"{SEQ} select lang, {BIN} as cmi_bin, count(*) as n, round(avg(density)::double, 6) as density, round(avg(sw)::double, 6) as switches from r group by all")
 def tag_summary(spark, sf):
-    g = texts(spark, sf).select("lang", C.language_string(F.col("text")).alias("letters"))
+    g = spread(texts(spark, sf), table(spark, sf, "documents")).select("lang", C.language_string(F.col("text")).alias("letters"))
     switches, density, index = C.mixing(F.col("letters"))
     g = g.select("lang", C.mixing_bin(index).alias("cmi_bin"), density.alias("d"), switches.alias("s"))
     return rounded(g.groupBy("lang", "cmi_bin").agg(F.count("*").alias("n"), F.avg("d").alias("density"), F.avg("s").alias("switches")))
@@ -84,11 +93,11 @@ def _phonetic_sql(col: str) -> str:
     return _fold_sql(f"replace(replace({hard}, 'ph', 'f'), 'z', 'j')")
 
 
-WORDS = f"with t as (select distinct lower(unnest({TOK})) as w from documents), a as (select w from t where regexp_matches(w, '^[a-z]+$'))"
+WORDS = f"with t as (select distinct lower(unnest({TOK})) as w from documents), a as (select w from t where regexp_matches(w, '^\\p{{L}}+$'))"
 
 
 def _words(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(C.tokens(F.col("text"))).alias("w")).select(F.lower("w").alias("w")).distinct().where(F.col("w").rlike("^[a-z]+$"))
+    return table(spark, sf, "documents").select(F.explode(C.tokens(F.col("text"))).alias("w")).select(F.lower("w").alias("w")).distinct().where(F.col("w").rlike(r"^\p{L}+$"))
 
 
 @query(f"{WORDS} select w, {_phonetic_sql('w')} as phonetic, regexp_replace({_phonetic_sql('w')}, '[aeiou]+', '', 'g') as skeleton from a")
@@ -96,7 +105,14 @@ def i08_i09_phonetic_forms(spark, sf):
     return _words(spark, sf).select("w", C.phonetic(F.col("w")).alias("phonetic"), C.skeleton(F.col("w")).alias("skeleton"))
 
 
-CLOSE = "1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1)"
+class _Close:
+    """1 minus the edit distance over the longer length, in characters."""
+
+    def format(self, a: str, b: str) -> str:
+        return f"1 - levenshtein({_bytes_sql(a)}, {_bytes_sql(b)}) / greatest(length({a}), length({b}), 1)"
+
+
+CLOSE = _Close()
 
 
 @query(
@@ -150,7 +166,7 @@ def i19_ngram_repetition(spark, sf):
 
 @query(f"with d as (select doc_id, {TOK} as w from documents), g as (select doc_id, unnest({GRAM.format(n=3, m=2)}) as g from d where len(w) >= 4), c as (select doc_id, g, count(*) as c from g group by all), s as (select doc_id, max(c) / sum(c) as s from c group by all) select d.doc_id, round(coalesce(s, 0)::double, 6) as share from d left join s using (doc_id)")
 def i20_top_ngram_share(spark, sf):
-    return rounded(table(spark, sf, "documents").select("doc_id", C.tokens(F.col("text")).alias("w")).select("doc_id", C.top_ngram_share(F.col("w")).alias("share")))
+    return rounded(spread(table(spark, sf, "documents")).select("doc_id", C.tokens(F.col("text")).alias("w")).select("doc_id", C.top_ngram_share(F.col("w")).alias("share")))
 
 
 @query(f"with d as (select doc_id, list_transform({TOK}, lambda x: lower(x)) as w from documents), u as (select doc_id, unnest(w) as x from d), c as (select doc_id, max(c) as top from (select doc_id, x, count(*) as c from u group by all) group by all) select d.doc_id, case when len(w) < 5 then 'too_short' when top >= greatest(4, len(w) // 2) then 'token_repetition' else '' end as reason from d left join c using (doc_id)")
@@ -219,8 +235,7 @@ def e07_unique_word_ratio(spark, sf):
 
 @query("with r as (select conv_id, role, row_number() over (partition by conv_id order by turn) - row_number() over (partition by conv_id, role order by turn) as g from conversations), i as (select conv_id, role, g, count(*) as n from r group by all) select conv_id, max(n) as longest from i group by conv_id")
 def f14_longest_run(spark, sf):
-    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
-    return t.select("conv_id", C.longest_run(F.col("r")).cast("long").alias("longest"))
+    return measuring.longest_runs(table(spark, sf, "conversations"), "conv_id", "turn", "role")
 
 
 def _next_turns(spark, sf):
@@ -229,12 +244,10 @@ def _next_turns(spark, sf):
     return c.select("conv_id", "turn", F.col("text").alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"]).transform(spread, c)
 
 
-@query("with c as (select conv_id, turn, lower(regexp_replace(text, '[^\\x20-\\x7e]', '?', 'g')) as t from conversations), p as (select a.conv_id, a.turn, a.t as a, b.t as b from c a join c b on a.conv_id = b.conv_id and b.turn = a.turn + 1) select conv_id, turn, round((1 - levenshtein(a, b) / greatest(length(a), length(b), 1))::double, 6) as closeness from p")
+@query(f"with c as (select conv_id, turn, lower(text) as t from conversations), p as (select a.conv_id, a.turn, a.t as a, b.t as b from c a join c b on a.conv_id = b.conv_id and b.turn = a.turn + 1) select conv_id, turn, round(({CLOSE.format(a='a', b='b')})::double, 6) as closeness from p")
 def i14_turn_closeness(spark, sf):
-    # characters outside ASCII compare as ?, since the twin's distance counts bytes
-    plain = lambda c: F.lower(F.regexp_replace(c, r"[^\x20-\x7e]", "?"))
-    p = _next_turns(spark, sf).select("conv_id", "turn", plain("a").alias("a"), plain("b").alias("b"))
-    return rounded(p.select("conv_id", "turn", C.closeness(F.col("a"), F.col("b")).alias("closeness")))
+    p = _next_turns(spark, sf)
+    return rounded(p.select("conv_id", "turn", C.closeness(F.lower("a"), F.lower("b")).alias("closeness")))
 
 
 @query("select conv_id, turn, 1.0::double as recall, 0.0::double as cer, 0.0::double as wer, 1.0::double as similarity from conversations where length(trim(text)) > 0")

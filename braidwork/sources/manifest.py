@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidwork.functions import columns as C
+
 # The manifest's fields, version and row profiles.
 VERSION = "corpus_manifest_v1"
 _KINDS = {"cs_density": "double", "lang_tags": "array<string>", "duration_s": "double", "is_synthetic": "boolean", "flags": "array<string>", "speed": "double", "chunks": "array<string>", "filter_recall": "double", "filter_cer_roman": "double", "filter_wer_raw": "double", "rep_4gram": "double", "accept": "boolean", "regen_attempt": "int"}
@@ -158,3 +160,60 @@ def stub_transcripts(spark: SparkSession, n: int, frames: list[str], words: list
     """Deterministic sentences: frame and word by index arithmetic."""
     i = F.col("id")
     return spark.range(n).select("id", F.replace(F.element_at(F.array(*map(F.lit, frames)), (i % len(frames) + 1).cast("int")), F.lit("{w}"), F.element_at(F.array(*map(F.lit, words)), (F.floor(i / len(frames)) % len(words) + 1).cast("int"))).alias("text"))
+
+
+# Who speaks before synthesis, the teacher's name, data sets and licences.
+PENDING, TEACHER = "__pending__", "teacher_tts"
+SEED_DOMAIN = "real_seed"
+DATASETS = {True: ("real_seed_text", "real_seed_text_only"), False: ("synthetic_hinglish_text", "synthetic_teacher_tts")}
+
+
+def corpus_rows(df: DataFrame, partition: str = "train") -> DataFrame:
+    """Manifest rows of cleaned texts: (text, ref_surface, domain, source, seed_tags, seed_density, seed_bin).
+
+    Tags, density and bin of a seed are carried where it has tags and a known bin (a null density is worked out from
+    the carried tags); otherwise they follow from the text.
+    """
+    trusted = F.coalesce(F.size("seed_tags") > 0, F.lit(False)) & F.coalesce(F.col("seed_bin").isin(*BINS), F.lit(False))
+    tags = F.when(trusted, F.col("seed_tags")).otherwise(C.language_tags(F.col("text")))
+    rows = df.withColumn("lang_tags", tags).withColumn("__real", F.coalesce(F.col("domain") == SEED_DOMAIN, F.lit(False)))
+    own_bin = C.mixing_bin(C.mixing_index(F.col("lang_tags")))
+    density = F.coalesce(F.when(trusted, F.col("seed_density")), C.switch_density(F.col("lang_tags")))
+    by_origin = lambda i: F.when(F.col("__real"), DATASETS[True][i]).otherwise(DATASETS[False][i])
+    cid = C.corpus_id(F.col("text"))
+    none = lambda name: F.lit(None).alias(name)
+    made = rows.select(
+        cid.alias("utt_id"), none("audio_path"), F.col("text").alias("ref_orig"), "ref_surface", none("ref_iso15919"), F.when(trusted, F.col("seed_bin")).otherwise(own_bin).alias("cmi_bin"),
+        density.alias("cs_density"), "lang_tags", F.lit(PENDING).alias("speaker_id"), none("duration_s"), none("sha256"), by_origin(0).alias("dataset"), F.lit(partition).alias("partition"),
+        (~F.col("__real")).alias("is_synthetic"), by_origin(1).alias("license"), F.array(F.concat(F.lit("domain:"), "domain"), F.concat(F.lit("source:"), "source")).alias("flags"),
+        cid.alias("corpus_id"), F.lit(TEACHER).alias("teacher"), C.ngram_repetition(C.tokens(F.col("text")), 4).alias("rep_4gram"),
+    )
+    return conform(made)
+
+
+def anchored(df: DataFrame) -> DataFrame:
+    """Real rows made complete: not synthetic, in train, with a corpus id (their own or the text's) and all optional columns."""
+    own = F.nullif("corpus_id", F.lit("")) if "corpus_id" in df.columns else F.lit(None).cast("string")
+    text = F.nullif("ref_orig", F.lit(""))
+    rows = df.withColumns({"corpus_id": F.coalesce(own, F.when(text.isNotNull(), C.corpus_id(text))), "is_synthetic": F.lit(False), "partition": F.lit("train")})
+    return conform(rows)
+
+
+def speech_requests(plan: DataFrame, most: int = 250, rate: int = 24_000) -> DataFrame:
+    """A dry run of synthesis: (utt_id, body, seconds, problem) for plan rows (utt_id, text, voice, speed); nothing is sent.
+
+    `body` is the request as JSON, `seconds` the length of the silent stand-in clip.
+    """
+    body = F.to_json(F.struct("text", F.col("voice").alias("voice_id"), F.lit(rate).alias("sample_rate"), F.lit("wav").alias("output_format"), "speed"))
+    problem = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty").when(F.char_length("text") > most, "too_long")
+    return plan.select("utt_id", F.when(problem.isNull(), body).alias("body"), F.when(problem.isNull(), F.greatest(F.lit(1.0), F.char_length("text") / 15.0)).alias("seconds"), problem.alias("problem"))
+
+
+def markdown_page(title: str, **tables: DataFrame) -> str:
+    """One page with a heading and a table for each (small) report."""
+    cell = lambda v: "" if v is None else f"{v:.4f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    out = [f"# {title}"]
+    for name, df in tables.items():
+        rows = [df.columns, ["---"] * len(df.columns), *([cell(v) for v in r] for r in df.collect())]
+        out += ["", f"## {name.replace('_', ' ')}", "", *("| " + " | ".join(r) + " |" for r in rows)]
+    return "\n".join(out) + "\n"

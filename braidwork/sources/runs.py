@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,23 @@ class Settings:
         return replace(self, **{k: report[k] for k in ("tau_recall", "tau_cer") if k in report})
 
 
+def load_settings(path: str, known: tuple[str, ...], report: str | None = None) -> Settings:
+    """Settings of a JSON file, defaults where it has none, thresholds of a calibration report if there is one.
+
+    A report that can't be read is passed over. Fields that aren't settings are left to their readers.
+    """
+    held = json.loads(Path(path).read_text(encoding="utf-8"))
+    names = {f.name for f in fields(Settings)}
+    own = {k: tuple(v) if isinstance(v, list) else v for k, v in held.items() if k in names}
+    settings = Settings(**({"voices": tuple(known)} | own)).checked(known)
+    if report is not None and Path(report).exists():
+        try:
+            settings = settings.calibrated(json.loads(Path(report).read_text(encoding="utf-8")))
+        except ValueError:
+            pass
+    return settings
+
+
 def stamp(spark: SparkSession, run_id: str, settings: Settings, inputs: dict[str, str]) -> DataFrame:
     """One row per input (name, path, sha256; null if missing), with the run and its settings' hash."""
     text = json.dumps(asdict(settings), sort_keys=True, ensure_ascii=False)

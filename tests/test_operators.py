@@ -79,6 +79,133 @@ def test_best_bound_and_power():
     assert 0.5 < statistics.power(0.2, 80, 0.08, 0.05) <= 1 and math.isnan(statistics.power(0.0, 5, 0.1, 0.05))
 
 
+def test_bound_is_the_textbook_one():
+    """BCa by its definition, jackknife and all, on the same resamples."""
+    from statistics import NormalDist
+
+    rng, normal = np.random.default_rng(2), NormalDist()
+    for n in (2, 5, 40):
+        d = rng.gamma(1.5, 0.1, n) - 0.1
+        means = statistics.resampled(d, 3000, 20260625)
+        left_out = np.array([np.delete(d, i).mean() for i in range(n)])
+        gap = left_out.mean() - left_out
+        bend = (gap**3).sum() / (6 * (gap**2).sum() ** 1.5) if (gap**2).sum() else 0.0
+        bias = normal.inv_cdf(((means < d.mean()).sum() + 0.5) / 3001)
+        z = bias + normal.inv_cdf(0.025)
+        want = np.percentile(means, 100 * normal.cdf(bias + z / (1 - bend * z)))
+        assert statistics.bca_lower(d, 0.025, 3000) == pytest.approx(want, abs=1e-9)
+
+
+def test_resamples_in_parts(spark):
+    """The parts' resamples have the mean and the spread of a bootstrap, and don't depend on how often they are drawn."""
+    rng = random.Random(3)
+    rows = [(a, f"u{i:04d}", rng.gauss(m, 0.3)) for a, m, n in (("x", 0.2, 900), ("y", -0.1, 60)) for i in range(n)] + [("x", "none", None)]
+    pairs = spark.createDataFrame(rows, "axis string, utt_id string, delta double").repartition(3)
+    got = defaultdict(list)
+    for r in statistics.resampled_in_parts(pairs, 4000, cells=500).collect():
+        got[r["axis"]].append(r["mean"])
+    for axis in "xy":
+        d = np.array([r[2] for r in rows if r[0] == axis and r[2] is not None])
+        assert len(got[axis]) == 4000
+        assert np.mean(got[axis]) == pytest.approx(d.mean(), abs=0.2 * d.std() / len(d) ** 0.5)
+        assert np.std(got[axis]) == pytest.approx(d.std() / len(d) ** 0.5, rel=0.1)
+    low = {r["axis"]: (r["n"], r["low"], r["high"]) for r in statistics.intervals(pairs, 4000).collect()}
+    d = np.array([r[2] for r in rows if r[0] == "x" and r[2] is not None])
+    assert low["x"][0] == 900 and low["x"][1:] == pytest.approx(statistics.percentile_interval(d, 4000), abs=0.004)
+
+
+def test_looped_interval():
+    d = np.arange(9.0)
+    rng = np.random.default_rng(0)
+    means = [d[rng.integers(0, 9, 9)].mean() for _ in range(300)]
+    assert statistics.looped_interval(d, 300) == tuple(np.percentile(means, [2.5, 97.5])) and math.isnan(statistics.looped_interval(d[:0])[0])
+
+
+def test_gates(spark):
+    counts = spark.createDataFrame([("ref", 400, 7), ("cand", 200, 8)], "system string, trained long, frozen long")
+    assert not statistics.parameter_gate(counts, "200m").first()["passes"]
+    axes = spark.createDataFrame([("a", "PASS"), ("b", "FAIL")], "axis string, verdict string")
+    row = statistics.overall(axes, ["a", "b", "c"]).first()
+    assert tuple(row) == (3, 1, "c", False) and statistics.overall(axes, ["a"]).first()["certified"]
+    none = statistics.content_gate(spark.createDataFrame([], "system string, utt_id string, n_tokens long")).first()
+    assert none["passes"] and not none["checked"] and none["measure"] is None
+    lone = statistics.content_gate(spark.createDataFrame([("ref", "u", 10)], "system string, utt_id string, n_tokens long")).first()
+    assert lone["checked"] and not lone["passes"]
+    rtf = spark.createDataFrame([("ref", 2.0), ("ref", 3.0), ("cand", 1.0)], "system string, rtf double")
+    assert tuple(statistics.speed_gate(rtf, "100m").first()) == ("speed", True, 2.5, True)
+    assert not statistics.speed_gate(rtf.where("system = 'ref'"), "100m").first()["checked"]
+
+
+def test_quantiles_match_numpy(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(5), rng.random()])) for _ in range(500)] + [("one", 3.0), ("void", None)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in rows], "k string, v double").repartition(4)
+    shares = (0.0, 0.05, 0.25, 0.5, 0.9, 1.0)
+    got = {r["k"]: r["q"] for r in measuring.quantiles(df, "v", shares, "k").collect()}
+    for k in {r[0] for r in rows} - {"void"}:
+        assert got[k] == pytest.approx(np.quantile([v for x, v in rows if x == k and v is not None], shares))
+    assert "void" not in got and measuring.described(df, "v", "k").where("k = 'void'").first()["p50"] == 0.0
+    assert measuring.described(df.where("k = 'void'"), "v").first()["n"] == 0
+
+
+def test_longest_runs(spark):
+    rng = random.Random(9)
+    rows = [(c, t, rng.choice("ab")) for c in range(8) for t in rng.sample(range(100), rng.randrange(1, 30))]
+    want = {}
+    for c in range(8):
+        run = best = 0
+        last = None
+        for _, _, x in sorted(r for r in rows if r[0] == c):
+            run = run + 1 if x == last else 1
+            best, last = max(best, run), x
+        want[c] = best
+    df = spark.createDataFrame(rows, "c long, t long, x string")
+    assert {r["c"]: r["longest"] for r in measuring.longest_runs(df, "c", "t", "x").collect()} == want
+
+
+def test_prompt_cascade(spark):
+    rows = [
+        (1, "यह meeting कल office में है", "yah meeting kal office men hai"), (2, "यह meeting कल office में है", None), (3, "too short here", None), (4, "go go go go go now", None),
+        (5, "yaar nahi kyun यह office कल है", None), (6, "यह meeting कल office में है ना भाई", "completely other reference words"), (7, "only plain words of one language here", None), (8, None, None),
+    ]
+    df = spark.createDataFrame(rows, "o long, text string, ref_surface string")
+    got = {r["o"]: r["reason"] for r in choosing.verified(df, "o", hindi_roman=("yaar", "nahi", "kyun")).collect()}
+    assert got == {1: None, 2: "near_duplicate", 3: "too_short", 4: "token_repetition", 5: "script_violation_hindi_in_latin", 6: "ref_surface_mismatch", 7: "corrected_bin_none", 8: "too_short"}
+
+
+def test_corpus_rows_and_anchors(spark):
+    rows = [("ये coaching center है", "s", "real_seed", "f", ["en", "hi", "en"], None, "high"), ("ये coaching center है", "s", "chat", "f", ["en"], 0.3, "odd"), ("plain words", None, "chat", "f", None, None, None)]
+    df = manifest.corpus_rows(spark.createDataFrame(rows, "text string, ref_surface string, domain string, source string, seed_tags array<string>, seed_density double, seed_bin string"))
+    a, b, c = df.collect()
+    assert (a["lang_tags"], a["cs_density"], a["dataset"], a["is_synthetic"]) == (["en", "hi", "en"], 1.0, "real_seed_text", False)
+    assert (b["lang_tags"], b["cmi_bin"], b["license"], b["flags"]) == (["hi", "en", "en", "hi"], "high", "synthetic_teacher_tts", ["domain:chat", "source:f"])
+    assert c["cmi_bin"] == "none" and c["utt_id"] == c["corpus_id"] and c["speaker_id"] == "__pending__" and c["accept"] is None
+    back = manifest.anchored(df.drop("teacher").withColumn("corpus_id", F.when(F.col("cmi_bin") == "none", "own"))).collect()
+    assert [r["corpus_id"] for r in back] == [a["utt_id"], a["utt_id"], "own"] and {r["partition"] for r in back} == {"train"} and not any(r["is_synthetic"] for r in back)
+
+
+def test_markdown_and_settings(spark, tmp_path):
+    page = manifest.markdown_page("Report", first_part=spark.sql("select 'a|b' as name, 0.5d as value, null as none"))
+    assert page == "# Report\n\n## first part\n\n| name | value | none |\n| --- | --- | --- |\n| a\\|b | 0.5 |  |\n"
+    (tmp_path / "c.json").write_text('{"voices": ["maya"], "speeds": [1], "arm": "x", "tau_cer": 0.4}')
+    (tmp_path / "r.json").write_text('{"tau_recall": 0.7}')
+    (tmp_path / "bad.json").write_text("{")
+    s = runs.load_settings(str(tmp_path / "c.json"), ("maya", "dev"), str(tmp_path / "r.json"))
+    assert (s.voices, s.speeds, s.tau_cer, s.tau_recall) == (("maya",), (1.0,), 0.4, 0.7)
+    assert runs.load_settings(str(tmp_path / "c.json"), ("maya",), str(tmp_path / "bad.json")).tau_recall == 0.8
+    with pytest.raises(ValueError):
+        runs.load_settings(str(tmp_path / "c.json"), ("dev",))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ranking.require_local(Session())
+
+
 def test_lcg_interval_matches_the_loop():
     d = np.array([0.1, -0.2, 0.3, 0.05, 0.0, -0.1, 0.22])
     means = []
