@@ -17,8 +17,9 @@ verified on full sets of the words themselves, with integers.
    band buckets again, least member first, then only pairs that aren't connected yet.
 4. Verified ties, a forest from each task, and the ties of equal sets give the final components.
 
-A bucket or component beyond `largest` members (or `heaviest` shingles) is split into chunks, and each pair
-of chunks is a task, so that no task grows with a group, and no pair of copies becomes a row.
+A bucket or component beyond `largest` members (or `heaviest` shingles) is split into chunks that each meet its least member;
+only the members that aren't tied to that one are held against all chunks. So no task grows with a group, no pair of copies becomes
+a row, and a group of near copies costs its size, not its square.
 
 At the threshold t a pair of large sets shares no band with probability (1 - t^5)^25: 4e-7 at 0.85, 5e-5 at 0.8; a test
 measures it for sets of all sizes. The filled registers of two sets are a sample of their union without replacement;
@@ -31,7 +32,7 @@ null, kept. A very long text is one set in one task. An empty table gives no row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -210,21 +211,26 @@ class Forest:
             self.ties.append((i, j))
 
 
-def tie_bucket(forest: Forest, bucket: np.ndarray, held: np.ndarray, sizes: np.ndarray, percent: int, test) -> None:
+def tie_bucket(forest: Forest, bucket: np.ndarray, held: np.ndarray, sizes: np.ndarray, percent: int, test, probes: np.ndarray | None = None) -> None:
     """Tie all members of a bucket that are plausible and pass `test`, unless they are connected already.
 
-    First everyone with the first member; then those outside the largest tree with all others, likeliest first.
+    First everyone with the first member; then those outside the largest tree with all others, likeliest first. With
+    `probes`, a mask over all members, only these are held against the others.
     """
-    lead = int(bucket[0])
-    near, _ = plausible(held[lead], sizes[lead], held[bucket], sizes[bucket], percent)
-    for j in bucket[near].tolist():
-        if forest.find(j) != forest.find(lead) and test(lead, j):
-            forest.tie(lead, j)
-    roots = np.array([forest.find(j) for j in bucket.tolist()])
-    values, counts = np.unique(roots, return_counts=True)
-    if len(values) < 2:
-        return
-    for i in bucket[roots != values[counts.argmax()]].tolist():
+    if probes is None:
+        lead = int(bucket[0])
+        near, _ = plausible(held[lead], sizes[lead], held[bucket], sizes[bucket], percent)
+        for j in bucket[near].tolist():
+            if forest.find(j) != forest.find(lead) and test(lead, j):
+                forest.tie(lead, j)
+        roots = np.array([forest.find(j) for j in bucket.tolist()])
+        values, counts = np.unique(roots, return_counts=True)
+        if len(values) < 2:
+            return
+        probing = bucket[roots != values[counts.argmax()]]
+    else:
+        probing = bucket[probes[bucket]]
+    for i in probing.tolist():
         near, guess = plausible(held[i], sizes[i], held[bucket], sizes[bucket], percent)
         order = np.flatnonzero(near)
         for j in bucket[order[np.argsort(-guess[order], kind="stable")]].tolist():
@@ -244,8 +250,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked(documents: list[list[bytes]], k: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among documents, by index, under the banding of the sketches."""
+def linked(documents: list[list[bytes]], k: int, percent: int, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among documents (those of `probes` with any), by index, under the banding of the sketches."""
     sets = full_sets(documents, k)
     sizes = np.array([len(s) for s in sets])
     forest, tested = Forest(len(sets)), set()
@@ -265,7 +271,7 @@ def linked(documents: list[list[bytes]], k: int, percent: int) -> list[tuple[int
         cuts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(by)]))
         for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
             if b - a > 1:
-                tie_bucket(forest, by[a:b], held, sizes, percent, test)
+                tie_bucket(forest, by[a:b], held, sizes, percent, test, probes)
     return forest.ties
 
 
@@ -301,45 +307,99 @@ def _groups(table: pa.Table, n_keys: int) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:], strict=False)
 
 
+def _answers(table: pa.Table, judge) -> Iterator[pa.RecordBatch]:
+    """(key, a, b) of tasks: rows (key, i, j, node, probe, ...) in order of the first three.
+
+    `judge(rows, lead, probes)` gives ties by position among `rows`, positions in the table in order of node. j = -1 marks a
+    task of one chunk and its group's leader, the only probe: members that it isn't tied to come back with b null. In other
+    tasks the probes are held against all, or all against all where every row is one.
+    """
+    names, nodes, probe = table.column(0).to_numpy(), table.column("node").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
+    led = table.column(2).to_numpy() < 0
+    keys, out = [], []
+    for a, b in _groups(table, 3):
+        by = a + np.lexsort((~probe[a:b], nodes[a:b]))
+        by = by[np.append(True, nodes[by][1:] != nodes[by][:-1])]  # a probe may also be among the others
+        if len(by) < 2:
+            continue
+        lead = int(np.flatnonzero(probe[by])[0]) if led[a] else None
+        ties = judge(by, lead, None if probe[by].all() else probe[by])
+        found = [(int(nodes[by[x]]), int(nodes[by[y]])) for x, y in ties]
+        if lead is not None:
+            tied = {lead, *(y for _, y in ties)}
+            found += [(int(nodes[by[x]]), None) for x in range(len(by)) if x not in tied]
+        keys += [names[a]] * len(found)
+        out += found
+    if out:
+        x, y = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["key", "a", "b"])
+
+
 @released
 def _tie_sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, node, n, regs) in order of the first three, to ties (a, b) worth verifying."""
+    """Ties worth verifying among rows (key, i, j, node, probe, n, regs)."""
     for table in runs(batches, 3, 1 << 20):
-        nodes, sizes = table.column("node").to_numpy(), table.column("n").to_numpy()
-        held = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        out = []
-        for a, b in _groups(table, 3):
-            if b - a > 1:
-                own = a + np.argsort(nodes[a:b], kind="stable")
-                forest = Forest(b - a)
-                tie_bucket(forest, np.arange(b - a), held[own], sizes[own], percent, lambda i, j: True)
-                out += [(int(nodes[own[x]]), int(nodes[own[y]])) for x, y in forest.ties]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        every = table.column("n").to_numpy()
+        sketches = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+        def judge(rows: np.ndarray, lead: int | None, probes: np.ndarray | None) -> list[tuple[int, int]]:
+            held, sizes = sketches[rows], every[rows]  # noqa: B023
+            if lead is not None:
+                near, _ = plausible(held[lead], sizes[lead], held, sizes, percent)
+                return [(lead, x) for x in np.flatnonzero(near).tolist() if x != lead]
+            forest = Forest(len(rows))
+            tie_bucket(forest, np.arange(len(rows)), held, sizes, percent, lambda i, j: True, probes)
+            return forest.ties
+
+        yield from _answers(table, judge)
 
 
 @released
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, i, j, node, _text) in order of the first three, to verified ties (a, b)."""
+    """Verified ties among rows (key, i, j, node, probe, _text)."""
     for table in runs(batches, 3, 1 << 20):
-        nodes, texts = table.column("node").to_numpy(), table.column("_text")
-        out = []
-        for a, b in _groups(table, 3):
-            own = a + np.argsort(nodes[a:b], kind="stable")
-            documents = [words_of(texts[int(x)].as_py()) for x in own]
-            out += [(int(nodes[own[x]]), int(nodes[own[y]])) for x, y in linked(documents, k, percent)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        texts = table.column("_text")
+
+        def judge(rows: np.ndarray, lead: int | None, probes: np.ndarray | None) -> list[tuple[int, int]]:
+            documents = [words_of(texts[int(x)].as_py()) for x in rows]  # noqa: B023
+            if lead is None:
+                return linked(documents, k, percent, probes)
+            sets = full_sets(documents, k)
+            return [(lead, x) for x in range(len(rows)) if x != lead and similar(sets[lead], sets[x], percent)]
+
+        yield from _answers(table, judge)
 
 
-def _in_chunks(rows: DataFrame, chunks: Column, key: str, *others: str) -> DataFrame:
-    """(key, i, j, node, others): one task for a group of one chunk, else one for each pair of chunks.
+def _tied(scratch: Scratch, rows: DataFrame, chunks: Column, fetch: Callable[[DataFrame], DataFrame], work, largest: int) -> DataFrame:
+    """(a, b): ties among the nodes of each key; `rows` has key, node, _t, a row for each node of a key.
 
-    A task holds both of its chunks whole, so with twice as many chunks it holds one chunk's worth, and i < j covers every pair.
+    A group of one chunk is one task. Of a larger one, each chunk meets the group's leader, its least node; only the
+    nodes that the leader isn't tied to are then held against all chunks, so that a large group of near copies costs
+    its size once. `fetch` joins what `work` needs to tasks (key, i, j, node, _t, probe).
     """
-    dealt = rows.withColumn("_n", F.when(chunks > 1, chunks * 2).otherwise(1).cast("int")).withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    both = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).where("_o <> _c or _n = 1")
-    return both.select(key, F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "node", *others)
+    sized = scratch.keep(rows.withColumn("_n", F.greatest(chunks, F.lit(1)).cast("int")).select("key", "node", "_t", "_n"))
+    own = sized.withColumn("i", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    leaders = sized.where("_n > 1").groupBy("key").agg(F.min(F.struct("node", "_t")).alias("_l"), F.max("_n").alias("_n"))
+    spread = leaders.select("key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"), F.lit(-1).alias("j"), "_l.node", "_l._t", F.lit(True).alias("probe"))
+    many = F.col("_n") > 1
+    tasks = own.select("key", "i", F.when(many, -1).otherwise(0).alias("j"), "node", "_t", (~many).alias("probe")).unionByName(spread)
+
+    def done(t: DataFrame) -> DataFrame:
+        met = fetch(t).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return scratch.keep(met.mapInArrow(work, "key long, a long, b long"))
+
+    first = done(tasks)
+    left = scratch.keep(first.where("b is null").select("key", F.col("a").alias("node")).distinct())
+    ties = first.where("b is not null").select("a", "b")
+    if left.head(1):
+        half = max(1, largest // 2)
+        groups = left.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.count("*") / half).cast("int").alias("_r"))
+        met = sized.join(groups, F.col("key") == F.col("_k")).drop("_k").withColumn("_n", F.col("_n") * 2)
+        probes = met.join(left, ["key", "node"]).withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_r")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        others = met.withColumn("j", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_r") - 1)))
+        side = lambda t, probe: t.select("key", "i", "j", "node", "_t", F.lit(probe).alias("probe"))
+        ties = ties.unionByName(done(side(probes, True).unionByName(side(others, False))).select("a", "b"))
+    return ties
 
 
 def near_duplicates(
@@ -359,22 +419,26 @@ def near_duplicates(
     keys = unique.select("_id", "_tag", F.explode("bands").alias("key"))
     shared = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1"))
     routes = keys.join(shared.hint("merge"), "key").select("key", "_m", F.col("_id").alias("node"), F.col("_tag").alias("_t"))
-    routes = _in_chunks(routes, F.ceil(F.col("_m") / largest), "key", "_t")
-    met = routes.join(unique.hint("merge"), (F.col("node") == F.col("_id")) & (F.col("_t") == F.col("_tag"))).select("key", "i", "j", "node", "n", "regs")
-    tasks = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    ties = scratch.keep(tasks.mapInArrow(lambda it: _tie_sketches(it, percent), "a long, b long"))
+    sketches = unique.select("_id", "_tag", "n", "regs").hint("merge")
+    named = (F.col("node") == F.col("_id")) & (F.col("_t") == F.col("_tag"))
+    ties = _tied(
+        scratch, routes, F.ceil(F.col("_m") / largest), lambda t: t.join(sketches, named).select("key", "i", "j", "node", "probe", "n", "regs"),
+        lambda it: _tie_sketches(it, percent), largest,
+    )
     coarse = components(scratch, ties)
     members = scratch.keep(coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct()))
     weighed = scratch.keep(members.join(unique.select(F.col("_id").alias("node"), F.col("_tag").alias("_t"), "n"), "node"))
     sizes = weighed.groupBy("root").agg(F.count("*").alias("_m"), F.sum("n").alias("_w"))
     chunks = F.greatest(F.ceil(F.col("_m") / largest), F.ceil(F.col("_w") / heaviest))
-    routed = _in_chunks(weighed.join(sizes, "root"), chunks, "root", "_t")
+    routed = weighed.join(sizes, "root").select(F.col("root").alias("key"), "_m", "_w", "node", "_t")
     # not a semi-join, which the optimizer would push below the sieve; a repeated row only repeats a member
     texts = sieve(own, "_id", weighed.select("node"))
-    met = texts.join(routed, (F.col("_id") == F.col("node")) & (F.col("_tag") == F.col("_t"))).select("root", "i", "j", "node", "_text")
-    tasks = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = scratch.keep(tasks.mapInArrow(lambda it: _verify(it, k, percent), "a long, b long"))
+    links = _tied(
+        scratch, routed, chunks, lambda t: texts.join(t, named).select("key", "i", "j", "node", "probe", "_text"), lambda it: _verify(it, k, percent), largest,
+    )
     final = components(scratch, links.unionByName(copies))
+    for done in (reps, unique, shared, members, weighed):
+        scratch.drop(done)
     joined = sketched.join(final, F.col("_id") == F.col("node"), "left")
     component = F.coalesce("root", "_id")
     return joined.select(F.col("_id").alias(id_col), F.col("_tag").alias("text_tag"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))

@@ -1,7 +1,7 @@
 """Tables that cut lineage, written where all executors can read them.
 
-The folder is the one that the session names in spark.checkpoint.dir; only where that is
-unset (tests, a laptop) a temporary folder of this machine is taken.
+The folder is the one that the session names in spark.checkpoint.dir. Where that is unset, a session whose executors are
+this machine's own (tests, a laptop) gets a temporary folder; any other is refused.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from braidwork.operators.ranking import require_local
+
 _OWN: dict[str, str] = {}
 
 
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    require_local(spark)
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="braidwork-")

@@ -85,3 +85,31 @@ def test_run(spark, rows, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() > 10
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/e/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text, ties, and extra columns with clashing names, stage by stage."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda n: "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(n // 12))
+    long = text(300_000)
+    plain, twin = text(240), text(360)
+    odd = [(1, plain, "en", "a", 1), (1, plain, "en", "a", 1), (2, twin, None, None, None), (3, twin, "en", "a", 5), (None, text(240), "en", "b", 7), (None, None, None, None, None), (5, "", "en", "", 0), (6, None, "en", "b", None), (7, long, "en", "b", len(long)), (8, " \n\t", "en", "b", 3)]
+    rows = [(*r, "x", 2, "y", 3) for r in odd]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, _id string, size int, _tag string, key int").repartition(3)
+    columns, seen = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "").write.parquet(f"file://{tmp_path}/{k}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{k}")
+        if name != "pack_sequences":
+            assert docs.columns == columns
+        seen.append(Counter(r["doc_id"] for r in docs.collect()))
+    assert seen[0] == seen[1] == Counter({1: 2, 2: 1, 3: 1, None: 1, 7: 1})
+    assert seen[2] == Counter({1: 1, 2: 1, None: 1, 7: 1})
+    assert set(seen[3]) <= {1, 2, None, 7} and seen[3][7] >= 1 and max(seen[3].values()) <= 2
+    assert set(seen[4]) == set(seen[3]) and seen[4][7] > 100
+    for name, stage in corpus_pipeline.STAGES:  # every stage alone on the odd rows
+        alone = stage(spark, spark.createDataFrame(rows, f"{SCHEMA}, _id string, size int, _tag string, key int"), "").collect()
+        assert len(alone) >= 4, name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], f"{SCHEMA}, _id string, size int"), "").count() == 0, name
