@@ -1,6 +1,6 @@
 """License scans: exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line. A template of m distinct tokens matches a block that holds at least
+A block is a line, or a paragraph where the caller says so. A template of m distinct tokens matches a block that holds at least
 ceil(threshold * m) of them. Tokens are ordered by their document frequency over the whole corpus,
 rarest first. Only prefixes are joined (a template's first m - need + 1 tokens, a block's first
 b - need + 1), under the length filter b >= need and the positional filter on what may still
@@ -44,6 +44,8 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 THRESHOLD = 0.8
+#: What separates blocks: lines, or paragraphs, for texts with hard-wrapped lines.
+LINES, PARAGRAPHS = "\n", r"\n[\x20\x09-\x0D]*\n"
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,19 @@ class Template:
     label: str
     tokens: frozenset[str]
     need: int
+    must: frozenset[str] = frozenset()
 
 
-def compiled(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[Template]:
+def _tokens(text: str) -> frozenset[str]:
+    return frozenset(x for x in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", text.lower()) if x)
+
+
+def compiled(templates=TEMPLATES, threshold: float = THRESHOLD, must: dict[str, str] | None = None) -> list[Template]:
+    """Templates as token sets; `must` names, by a template's text, words of it that no block may lack."""
     out = []
     for label, text in templates:
-        tokens = frozenset(x for x in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", text.lower()) if x)
-        out.append(Template(label, tokens, math.ceil(threshold * len(tokens) - 1e-9)))
+        tokens = _tokens(text)
+        out.append(Template(label, tokens, math.ceil(threshold * len(tokens) - 1e-9), tokens & _tokens((must or {}).get(text, ""))))
     return out
 
 
@@ -105,7 +113,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, templates: list[Template]
     )
 
 
-def _matches(spark: SparkSession, scanned: DataFrame, templates: list[Template]) -> DataFrame:
+def _matches(spark: SparkSession, scanned: DataFrame, templates: list[Template], breaks: str) -> DataFrame:
     """(_id, _tag, _label, _share): the prefix join of lines and templates, verified."""
     counted = scanned.select(F.explode("_known").alias("t")).groupBy("t").count().collect()  # the vocabulary at most
     frequency = {r["t"]: r["count"] for r in counted}
@@ -116,11 +124,11 @@ def _matches(spark: SparkSession, scanned: DataFrame, templates: list[Template])
         prefix += [(r, k, pos, t.need, len(ranks)) for pos, r in enumerate(ranks[: len(ranks) - t.need + 1])]
     values = ", ".join(f"({', '.join(map(str, row))})" for row in prefix)
     left = spark.sql(f"select * from values {values} as v(rank, tmpl, tpos, need, m)")
-    full = ", ".join(f"({k}, array({', '.join(str(order[x]) for x in sorted(t.tokens))}), '{t.label}')" for k, t in enumerate(templates))
-    sets = spark.sql(f"select * from values {full} as v(tmpl, tokens, label)")
+    full = ", ".join(f"({k}, array({', '.join(str(order[x]) for x in sorted(t.tokens))}), cast(array({', '.join(str(order[x]) for x in sorted(t.must))}) as array<int>), '{t.label}')" for k, t in enumerate(templates))
+    sets = spark.sql(f"select * from values {full} as v(tmpl, tokens, must, label)")
     ranks = F.create_map(*[F.lit(x) for t, i in order.items() for x in (t, i)])
     least = min(t.need for t in templates)
-    lines = scanned.where("_text is not null").select("_id", "_tag", F.posexplode(F.split("_text", "\n")).alias("_line", "_block"))
+    lines = scanned.where("_text is not null").select("_id", "_tag", F.posexplode(F.split("_text", breaks)).alias("_line", "_block"))
     known = F.array_intersect(_words(F.col("_block")), _strings(order))
     blocks = lines.withColumn("_known", known).where(F.size("_known") >= least).select("_id", "_tag", "_line", F.array_sort(F.transform("_known", lambda x: F.element_at(ranks, x))).alias("_ranks"))
     heads = blocks.select("_id", "_tag", "_line", "_ranks", F.posexplode(F.slice("_ranks", 1, F.size("_ranks") - least + 1)).alias("bpos", "rank"))
@@ -128,15 +136,18 @@ def _matches(spark: SparkSession, scanned: DataFrame, templates: list[Template])
     fits = (F.col("bpos") <= b - F.col("need")) & (F.least(F.col("m") - F.col("tpos"), b - F.col("bpos")) >= F.col("need"))
     pairs = heads.join(F.broadcast(left), "rank").where(fits).dropDuplicates(["_id", "_tag", "_line", "tmpl"])
     both = F.size(F.array_intersect("_ranks", "tokens"))
-    return pairs.join(F.broadcast(sets), "tmpl").where(both >= F.col("need")).select("_id", "_tag", F.col("label").alias("_label"), (both / F.col("m")).alias("_share"))
+    return pairs.join(F.broadcast(sets), "tmpl").where((both >= F.col("need")) & (F.size(F.array_except("must", "_ranks")) == 0)).select("_id", "_tag", F.col("label").alias("_label"), (both / F.col("m")).alias("_share"))
+
 
+def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, breaks: str = LINES, must: dict[str, str] | None = None) -> DataFrame:
+    """One row per document: base phrase places, all labels, and a score: 1 with a base phrase, else the best containment.
 
-def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: base phrase places, all labels, and a score: 1 with a base phrase, else the best containment."""
+    `breaks` separates blocks (LINES, PARAGRAPHS or another expression); `must` asks for words of short templates, by their texts.
+    """
     scratch = Scratch(spark, "license")
-    held = compiled(templates, threshold)
+    held = compiled(templates, threshold, must)
     scanned = scratch.keep(_scan(docs, id_col, text_col, held))
-    found = _matches(spark, scanned, held).groupBy("_id", "_tag").agg(F.collect_set("_label").alias("_more"), F.max("_share").alias("_share"))
+    found = _matches(spark, scanned, held, breaks).groupBy("_id", "_tag").agg(F.collect_set("_label").alias("_more"), F.max("_share").alias("_share"))
     found = found.select(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), "_more", "_share")
     joined = scanned.drop("_text", "_known").join(found, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t")), "left")
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("_more", F.array().cast("array<string>")))))

@@ -61,6 +61,69 @@ def test_compression_rules(docs, empty):
         assert compression.repeated_words(words) == brute_repeats(words)
 
 
+def brute_rules(text, bands):
+    """The contract's columns by regular expressions, and the verdict by the rule's own words."""
+    import math
+    import re
+
+    import zstandard
+
+    text = text or ""
+    words, data = re.findall(r"[^\x20\x09-\x0D]+", text), text.encode()
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    repeats = brute_repeats(words)
+    failed = len(words) < 50 or 100 * repeats > 50 * len(words)
+    base = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), repeats, failed)
+    if not data:
+        return (*base, not failed, None, None)
+    foreign = 2 * sum(b > 127 for b in data) > len(data)
+
+    def limits(n):
+        if n < 100:
+            return 0, 1e9
+        if foreign:
+            return next((a, b) for least, a, b in reversed(bands.wide) if n >= least)
+        points = bands.curve
+        if n >= points[-1][0]:
+            return points[-1][1:]
+        (x, a, c), (y, b, d) = next((p, q) for p, q in zip(points, points[1:], strict=False) if p[0] <= n < q[0])
+        share = math.log(n / x) / math.log(y / x)
+        return a + (b - a) * share, c + (d - c) * share
+
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+    whole, (low, high) = ratio(data), limits(len(data))
+    fine, size = low <= whole <= high, 256
+    while size < 2048 and 8 * size <= len(data):
+        size *= 2
+    if len(data) < size:
+        return (*base, not failed and fine, whole, None)
+    low, high = limits(size)
+    bad = 0
+    for a in range(0, len(data), size):
+        b = min(a + size, len(data))
+        bad += (b - a) * (not 0.95 * low <= ratio(data[b - size : b]) <= 1.05 * high)
+    return (*base, not failed and fine and bad / len(data) <= 0.3, whole, bad / len(data))
+
+
+def test_compression_rules_by_brute_force(spark):
+    rng = random.Random(17)
+    clean = lambda n: prose(rng, n).decode()
+    texts = [None, "", " \n", "a#b *$ %&|<> x", "x" * 99, "one line\n" * 80, LONG, "हिन्दी में एक वाक्य जो कई बार नहीं आता " * 12, clean(90), base64.b64encode(rng.randbytes(3000)).decode()]
+    for n in (400, 700, 1500, 2047, 2048, 4100, 9000, 30_000):
+        texts += [clean(n), clean(n).replace(" ", "\n", n // 40), clean(n) + " buy cheap pills" * (n // 20), " ".join("".join(rng.choice("abcdefghij0123456789") for _ in range(7)) for _ in range(n // 8))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in compression.compression_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    decided = 0
+    for i, t in rows:
+        want = brute_rules(t, compression.Bands())
+        assert tuple(got[i])[1:8] == want[:7], (i, tuple(got[i]), want)
+        assert tuple(got[i])[8:] == pytest.approx(want[7:], abs=1e-9)
+        decided += not want[5] and not want[6]
+    assert decided >= 8  # documents that only the bands reject
+    kept = {r["doc_id"] for r in compression.keep_good(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, r in got.items() if r["kept"]}
+
+
 def test_compression_verdict():
     judge = compression._Judge(compression.Bands())
     rng = random.Random(1)
@@ -143,6 +206,19 @@ def test_hilbert_cells_follow_whole_strings(spark):
     assert len({r["cell"] >> 4 & 15 for r in got.values()}) > 8
 
 
+def test_hilbert_shards_by_brute_force(spark):
+    """Places from the curve's table, then a plain sort by place and id, cut in runs."""
+    rng = random.Random(15)
+    rows = [(i, "t" * rng.randint(0, 300), rng.choice([None, "de", "en", "fr"]), rng.choice([None, "", "a", "bb", "s"])) for i in rng.sample(range(5000), 333)]
+    got = hilbert.hilbert_shards(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    table = hilbert.table(3, 4)
+    assert all(r["place"] == table[r["cell"]] for r in got)
+    ordered = sorted(got, key=lambda r: (r["place"], r["doc_id"]))
+    shard = [k * 8 // len(ordered) for k in range(len(ordered))]
+    first = [shard.index(x) for x in range(8)]
+    assert [(r["shard"], r["slot"]) for r in ordered] == [(x, k - first[x]) for k, x in enumerate(shard)]
+
+
 def test_hilbert_order_prunes(spark):
     """Runs of the curve against runs of rows as they come: how many a filter on each dimension must read."""
     rng = random.Random(3)
@@ -515,6 +591,17 @@ def test_license_scan(spark, docs, empty):
     assert by[2]["labels"] == "" and by[2]["score"] == 0.0 and by[2]["first_word"] is None
 
 
+def test_license_paragraphs(spark):
+    """Hard-wrapped notices, with paragraphs as blocks and the license's own name asked for."""
+    permission = licenses.TEMPLATES[1][1]
+    words = permission.split()
+    wrapped = "\n".join(" ".join(words[a : a + 6]) for a in range(0, len(words), 6))
+    texts = [f"Copyright someone\n\n{wrapped}\n\nThe rest.", wrapped, "Released under the BSD License", "Released under\nthe MIT License", f"{' '.join(words[:9])}\n\n{' '.join(words[9:])}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(spark, df, breaks=licenses.PARAGRAPHS, must={"Released under the MIT License": "mit"}).collect()}
+    assert got == {0: "mit", 1: "mit", 2: "", 3: "mit", 4: ""}
+
+
 def test_license_join_finds_every_block(spark):
     """Random blocks over a small vocabulary, against every block and template pair."""
     rng = random.Random(4)
