@@ -113,14 +113,15 @@ def verified(rows: DataFrame, order: str, threshold: float = 0.85, most_roman: i
     signed = neardup.signed(rows.withColumn("__c", udfs.compare_space(text)), "__c")
     first = neardup.kept(signed.select(order, "sig"), order, threshold).select(F.col(order).alias("__o"))
     lists = [F.array(*map(F.lit, x)).cast("array<string>") for x in (hindi_roman, stop)]
-    marked = F.transform(columns.tokens(text), lambda t: F.struct(t.alias("t"), columns.lexicon_tag(t, *lists).alias("g")))
-    out = rows.join(first, F.col(order) == F.col("__o"), "left").withColumn("__m", marked)
-    tags = F.transform("__m", lambda m: m["g"])
-    roman = F.size(F.filter("__m", lambda m: (m["g"] == "hi") & m["t"].rlike(r"^[A-Za-z'\-]+$")))
-    out = out.withColumn("cs_mode", columns.mixing_bin(columns.mixing_index(tags))).withColumn("cs_density", F.round(columns.switch_density(tags), 3))
+    tagged = F.transform(columns.tokens(text), lambda t: F.struct(t.alias("t"), columns.lexicon_tag(t, *lists).alias("g")))
+    roman = lambda m: F.size(F.filter(m, lambda x: (x["g"] == "hi") & x["t"].rlike(r"^[A-Za-z'\-]+$")))
+    mixed = lambda m: columns.let(F.transform(m, lambda x: x["g"]), lambda g: F.struct(columns.mixing_bin(columns.mixing_index(g)).alias("bin"), columns.switch_density(g).alias("density")))
+    marks = columns.let(tagged, lambda m: F.struct(roman(m).alias("roman"), mixed(m).alias("mixed")))
+    out = rows.join(first, F.col(order) == F.col("__o"), "left").withColumn("__m", marks)
+    out = out.withColumn("cs_mode", F.col("__m.mixed.bin")).withColumn("cs_density", F.round("__m.mixed.density", 3))
     out = out.withColumn("__s", udfs.similarity("text", "ref_surface")).withColumn("consistency", F.round("__s", 2))
     reason = (
-        F.when(F.col("__o").isNull(), "near_duplicate").when(columns.degenerate(text) != "", columns.degenerate(text)).when(roman > most_roman, "script_violation_hindi_in_latin")
+        F.when(F.col("__o").isNull(), "near_duplicate").when(columns.degenerate(text) != "", columns.degenerate(text)).when(F.col("__m.roman") > most_roman, "script_violation_hindi_in_latin")
         .when(F.col("__s") < least_consistency, "ref_surface_mismatch").when(~F.col("cs_mode").isin("high", "med"), F.concat(F.lit("corrected_bin_"), "cs_mode"))
     )
     return out.withColumn("reason", reason).select(*rows.columns, "reason", "cs_mode", "cs_density", "consistency")

