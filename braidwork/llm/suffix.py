@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.columns import text_tag
 from braidwork.llm.grouped import released, runs
+from braidwork.llm.passages import WORDS, documents_with_passages
 from braidwork.llm.scratch import Scratch, small_batches
 
 WIDTH = 400
@@ -237,7 +238,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 def _cut(batches: Iterator[pa.RecordBatch], id_col: str, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+        for text, spans, passage in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             flat = spans.values.to_numpy() if spans.is_valid and len(spans.values) else np.zeros(0, np.int64)
             a, b = flat[::2], flat[1::2] + width - 1
@@ -251,10 +252,10 @@ def _cut(batches: Iterator[pa.RecordBatch], id_col: str, width: int) -> Iterator
                     kept.update(data[at:x])
                     removed, n_spans, at = removed + y - x, n_spans + 1, y
             kept.update(data[at:])
-            rows.append((len(data), removed, n_spans, kept.hexdigest(), n_spans > 0))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"])
+            rows.append((len(data), removed, n_spans, kept.hexdigest(), n_spans > 0, passage.as_py()))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats", "has_passage"])
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
@@ -295,10 +296,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     return at_all.unionByName(in_full).groupBy("_id", "_tag").agg(F.flatten(F.collect_list("_r")).alias("spans"))
 
 
-def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
-    """One row per document: its bytes, those removed, the number of removed runs, the digest of the rest, and whether it repeats anything."""
-    spans = repeated_spans(spark, docs, id_col, text_col, width, limit).select(F.col("_id").alias("_i"), F.col("_tag").alias("_t"), "spans")
+def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT, words: int = WORDS) -> DataFrame:
+    """One row per document: its bytes, those removed, the number of removed runs, the digest of the rest, whether anything
+    goes, and whether it holds a passage of `words` words that stands in another document too (of any length in bytes)."""
+    spans = repeated_spans(spark, docs, id_col, text_col, width, limit)
     own = docs.select(F.col(id_col).alias("_id"), text_tag(text_col).alias("_tag"), F.col(text_col).alias("_text"))
-    met = own.join(spans, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t")), "left").select("_id", "_text", "spans")
+    shared = documents_with_passages(Scratch(spark, "passages"), own, words)
+    marked = own.select("_id", "_tag").join(shared, "_tag").select("_id", "_tag", F.lit(True).alias("_p"))
+    both = spans.withColumn("_p", F.lit(False)).unionByName(marked, allowMissingColumns=True).groupBy(F.col("_id").alias("_i"), F.col("_tag").alias("_t"))
+    known = both.agg(F.max_by("spans", F.col("spans").isNotNull()).alias("spans"), F.max("_p").alias("_p"))
+    met = own.join(known, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t")), "left").select("_id", "_text", "spans", F.coalesce("_p", F.lit(False)).alias("_p"))
     kind = dict(docs.dtypes)[id_col]
-    return met.mapInArrow(lambda it: _cut(it, id_col, width), f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean")
+    return met.mapInArrow(lambda it: _cut(it, id_col, width), f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, has_passage boolean")

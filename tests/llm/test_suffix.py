@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from braidwork.llm import suffix
+from braidwork.llm import passages, suffix
+from braidwork.llm.scratch import Scratch
 
 
 def brute(texts, width):
@@ -76,11 +77,61 @@ def test_suffix_dedup(spark, limit):
     rows = [(i if i != 9 else None, t, "n") for i, t in enumerate(texts)]
     rows += [rows[4], rows[4]]
     df = spark.createDataFrame(rows, "doc_id long, text string, mini string").repartition(3)
-    got = Counter(map(tuple, suffix.suffix_dedup(spark, df, width=width, limit=limit).collect()))
-    want = Counter((r[0], *x, x[1] > 0) for r, x in zip(rows, brute([r[1] for r in rows], width), strict=True))
+    got = Counter(map(tuple, suffix.suffix_dedup(spark, df, width=width, limit=limit, words=5).collect()))
+    shared = brute_passages([r[1] for r in rows], 5)
+    want = Counter((r[0], *x, x[1] > 0, p) for r, x, p in zip(rows, brute([r[1] for r in rows], width), shared, strict=True))
     assert got == want
 
 
+def brute_passages(texts, width):
+    """Whether each text holds `width` words in a row that another row's text holds too."""
+    raw = [(t or "").encode().split() for t in texts]
+    seen = defaultdict(set)
+    for i, words in enumerate(raw):
+        for a in range(len(words) - width + 1):
+            seen[tuple(words[a : a + width])].add(i)
+    return [any(len(seen[tuple(w[a : a + width])]) > 1 for a in range(len(w) - width + 1)) for w in raw]
+
+
+@pytest.mark.parametrize("width", [5, 12, 51])
+def test_passages(spark, width):
+    """Planted passages of just enough and just too few words, copies, self-repeats and separators of all kinds, by brute force."""
+    rng = random.Random(width)
+    vocabulary = [f"w{i}" for i in range(3 * width)]
+    word = lambda: rng.choice(vocabulary)
+    planted = [[word() for _ in range(rng.choice([width - 1, width, width + 1, 2 * width]))] for _ in range(12)]
+    texts = [None, "", " ", "few words"]
+    for _ in range(150):
+        words = [word() for _ in range(rng.choice([0, width // 2, width - 1, width, 3 * width]))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randint(0, len(words))
+            words[at:at] = rng.choice(planted)
+        if rng.random() < 0.1:
+            words = words * 2
+        texts.append("".join(w + rng.choice([" ", "\n", "\t ", "  "]) for w in words))
+    texts += rng.choices(texts, k=10)
+    df = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, gram string").repartition(3)
+    own = df.selectExpr("doc_id as _id", "coalesce(xxhash64(text), 0) as _tag", "text as _text")
+    found = {r["_tag"] for r in passages.documents_with_passages(Scratch(spark, "t"), own, width).collect()}
+    tags = [r["_tag"] for r in sorted(own.selectExpr("_tag", "_text").collect(), key=str)]
+    by_text = {r["_text"]: r["_tag"] for r in own.collect()}
+    want = brute_passages(texts, width)
+    assert len(tags) == len(texts) and {by_text[t] in found for t, p in zip(texts, want, strict=True) if p} == {True}
+    assert not any(by_text[t] in found for t, p in zip(texts, want, strict=True) if not p) and sum(want) not in (0, len(want))
+
+
+def test_selection_holds_in_parts():
+    rng = np.random.Generator(np.random.PCG64(1))
+    grams = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    whole = passages.selected(grams, 26)
+    held, passages.PART = passages.PART, 500
+    try:
+        assert np.array_equal(passages.selected(grams, 26), whole)
+    finally:
+        passages.PART = held
+    assert max(np.diff(whole)) <= 26 and len(passages.selected(grams[:26], 26)) == 1
+
+
 def test_passages_of_many_words_and_a_long_text(spark):
     """A passage in two documents is found where it has 400 bytes; clean documents stay whole; so does a text of a megabyte."""
     rng = random.Random(5)
