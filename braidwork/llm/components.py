@@ -18,8 +18,9 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+def _least(scratch: Scratch, pairs: DataFrame) -> DataFrame:
+    """Written, so that the join that follows is one of plain exchanges: a node of very many edges is then split over tasks."""
+    return scratch.keep(pairs.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -29,14 +30,15 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
     mark = _mark(now)
     for _ in range(rounds if mark[0] else 0):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).where("a <> b").distinct()
+        near = _least(scratch, both)
+        large = both.where("v > u").join(near, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).where("a <> b").distinct()
         large = scratch.keep(large)
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        low = _least(down)
+        low = _least(scratch, down)
         hooked = down.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         small = hooked.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         new = scratch.keep(small)
-        for old in (now, large):
+        for old in (now, near, large, low):
             scratch.drop(old)
         now, before, mark = new, mark, _mark(new)
         if mark == before:
