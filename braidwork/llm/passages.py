@@ -3,11 +3,12 @@
 The byte windows of suffix.py measure a passage in bytes; a passage of 51 short words may have fewer than 400. Here a
 window has `words` words, however they are separated.
 
-1. One pass hashes words, and grams of g = (words + 1) / 2 words, rolling. Of any g neighbouring grams the least is selected,
+1. One pass hashes words, and grams of g words, rolling. Of all grams of any `words` words the least is selected,
    so every passage of `words` words holds a selected gram, chosen from the passage alone. A selected gram is listed with
-   a hash of itself and up to g - 1 words on either side (its content): numbers only, about two for g words.
-2. A content in two documents is a common passage of `words` words or more. Where a shared gram has several contents, each
-   different one is looked up once and gives the hashes of the windows around the gram; equal windows tie contents.
+   a hash of itself and the words on either side that a window with it may reach (its content): numbers only, one for about twenty words.
+2. A content in two documents is a common passage of `words` words or more. Where a shared gram has several contents and stands in a document
+   that this leaves open, each different one is looked up once and gives the hashes of the windows around the gram; equal windows tie
+   contents.
 
 All groups are aggregations with partial sums, and a gram's rows are its occurrences, never pairs of them. Windows and
 contents are compared by 64-bit hashes of words' hashes.
@@ -29,7 +30,7 @@ from braidwork.llm.grouped import released
 from braidwork.llm.hyperminhash import _hash_of, _mix
 from braidwork.llm.scratch import Scratch
 
-WORDS = 51
+WORDS, GRAM = 51, 12
 #: Words hashed at a time; places inside take 20 bits.
 PART = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,6 +53,11 @@ class _Rolling:
         return _mix((self._sums[stop] - self._sums[start]) * self._down[start] + (stop - start).astype(np.uint64) * _SIDE)
 
 
+def gram_words(width: int) -> int:
+    """Words of a gram: few, as windows with many grams have fewer selected, but enough to be rare."""
+    return min(GRAM, (width + 1) // 2)
+
+
 def selected(grams: np.ndarray, g: int) -> np.ndarray:
     """Places of the least of any g neighbouring grams, the first among equals."""
     out = []
@@ -64,13 +70,15 @@ def selected(grams: np.ndarray, g: int) -> np.ndarray:
             span *= 2
         n = len(part) - g + 1
         low = np.minimum(low[:n], low[g - span : g - span + n])
-        out.append(np.unique(low & np.uint64(0xFFFFF)).astype(np.int64) + base)
-    return np.unique(np.concatenate(out))
+        places = (low & np.uint64(0xFFFFF)).astype(np.int64) + base  # never descending
+        out.append(places[np.append(True, places[1:] != places[:-1])])
+    found = np.concatenate(out)
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def listed_grams(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, gram, content) of the selected grams of a text."""
-    n, g = len(words), (width + 1) // 2
+    n, g = len(words), gram_words(width)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
     rolling = _Rolling(words)
@@ -84,7 +92,7 @@ def listed_grams(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
 
 def windows_around(words: list[bytes], at: list[int], width: int) -> Iterator[np.ndarray]:
     """For each place the hashes of the windows that hold its gram."""
-    n, g = len(words), (width + 1) // 2
+    n, g = len(words), gram_words(width)
     rolling = _Rolling(words)
     for a in at:
         starts = np.arange(max(0, a - (width - g)), min(a, n - width) + 1)
@@ -110,15 +118,20 @@ def documents_with_passages(scratch: Scratch, own: DataFrame, words: int = WORDS
 
     grams = scratch.keep(own.select("_tag", "_text").mapInArrow(listed, "_tag long, at int, gram long, content long"))
     several = lambda c: F.min(c) != F.max(c)
-    shared = grams.groupBy("gram").agg(several("_tag").alias("_many"), several("content").alias("_unlike")).where("_many").select("gram", "_unlike")
-    # written first: a join of two plain exchanges is one whose large partitions can be split
-    met = scratch.keep(grams.join(scratch.keep(shared), "gram"))
+    # small tables are written before they are joined: a join of two plain exchanges is one whose large partitions can be split
+    twice = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
+    again = scratch.keep(grams.join(twice, "gram"))
     copied = own.groupBy("_tag").agg(F.count("*").alias("_n")).where("_n > 1").select("_tag")
     copied = scratch.keep(grams.join(copied, "_tag", "left_semi").select("_tag").distinct())  # a text of enough words has a gram
     scratch.drop(grams)
+    shared = again.groupBy("gram").agg(several("_tag").alias("_many"), several("content").alias("_unlike")).where("_many").select("gram", "_unlike")
+    met = scratch.keep(again.join(scratch.keep(shared), "gram"))
     contents = scratch.keep(met.groupBy("gram", "content").agg(several("_tag").alias("_many"), F.max("_unlike").alias("_unlike"), F.min(F.struct("_tag", "at")).alias("_first")))
 
-    wanted = contents.where("_unlike").groupBy(F.col("_first._tag").alias("_t")).agg(F.collect_list(F.struct("content", "_first.at", "_many")).alias("_all"))
+    # what a content in two documents settles; windows are looked up only for grams of documents that are still open
+    sure = scratch.keep(met.join(contents.where("_many").select("gram", "content"), ["gram", "content"]).select("_tag").distinct())
+    open_ = scratch.keep(met.where("_unlike").join(sure, "_tag", "left_anti").select("gram").distinct())
+    wanted = contents.join(open_, "gram").groupBy(F.col("_first._tag").alias("_t")).agg(F.collect_list(F.struct("content", "_first.at")).alias("_all"))
     one = own.groupBy("_tag").agg(F.min("_id").alias("_i"))
     places = wanted.join(one, F.col("_t") == F.col("_tag")).select("_t", "_i", "_all")
     texts = own.join(places, (F.col("_tag") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_tag", "_text", "_all")
@@ -133,9 +146,8 @@ def documents_with_passages(scratch: Scratch, own: DataFrame, words: int = WORDS
                 flat = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), tag.as_py())), pa.array(which), pa.array(flat)], names=["_tag", "content", "window"])
 
-    around = scratch.keep(texts.mapInArrow(windows, "_tag long, content long, window long").distinct())
-    tied = around.groupBy("window").agg(several("_tag").alias("_many")).where("_many").select("window")
+    around = scratch.keep(texts.mapInArrow(windows, "_tag long, content long, window long"))
+    tied = scratch.keep(around.groupBy("window").agg(several("_tag").alias("_many")).where("_many").select("window"))
     alike = around.join(tied, "window").select("content").distinct()
-    sure = contents.where("_many").select("content").distinct()
-    found = met.select("_tag", "content").join(sure.unionByName(alike).distinct(), "content").select("_tag")
-    return found.unionByName(copied).distinct()
+    found = met.select("_tag", "content").join(alike, "content").select("_tag")
+    return found.unionByName(sure).unionByName(copied).distinct()
