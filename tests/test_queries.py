@@ -39,3 +39,14 @@ def test_twin(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_optional_parts_are_missed_only_where_their_files_are_gone(tmp_path, monkeypatch):
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "leftover" / "__pycache__").mkdir(parents=True)
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "__init__.py").write_text("")
+    (tmp_path / "broken" / "part.py").write_text("import no_such_module_anywhere")
+    assert entry._if_there("nowhere_at_all", "nowhere_at_all") is None and entry._if_there("leftover", "leftover.part") is None
+    with pytest.raises(ImportError):
+        entry._if_there("broken", "broken.part")
