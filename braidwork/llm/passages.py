@@ -114,15 +114,15 @@ def documents_with_passages(scratch: Scratch, own: DataFrame, words: int = WORDS
                 found = [listed_grams(_split(x.as_py()), words) for x in part.column(1)]
                 which = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
                 cols = [np.concatenate([x[i] for x in found]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2])], names=["_tag", "at", "gram", "content"])
+                lead = np.append(True, which[1:] != which[:-1])[: len(which)]  # a row for each document
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2]), pa.array(lead)], names=["_tag", "at", "gram", "content", "lead"])
 
-    grams = scratch.keep(own.select("_tag", "_text").mapInArrow(listed, "_tag long, at int, gram long, content long"))
+    grams = scratch.keep(own.select("_tag", "_text").mapInArrow(listed, "_tag long, at int, gram long, content long, lead boolean"))
     several = lambda c: F.min(c) != F.max(c)
     # small tables are written before they are joined: a join of two plain exchanges is one whose large partitions can be split
     twice = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram"))
-    again = scratch.keep(grams.join(twice, "gram"))
-    copied = own.groupBy("_tag").agg(F.count("*").alias("_n")).where("_n > 1").select("_tag")
-    copied = scratch.keep(grams.join(copied, "_tag", "left_semi").select("_tag").distinct())  # a text of enough words has a gram
+    again = scratch.keep(grams.drop("lead").join(twice, "gram"))
+    copied = scratch.keep(grams.where("lead").groupBy("_tag").agg(F.count("*").alias("_n")).where("_n > 1").select("_tag"))
     scratch.drop(grams)
     shared = again.groupBy("gram").agg(several("_tag").alias("_many"), several("content").alias("_unlike")).where("_many").select("gram", "_unlike")
     met = scratch.keep(again.join(scratch.keep(shared), "gram"))
@@ -131,7 +131,7 @@ def documents_with_passages(scratch: Scratch, own: DataFrame, words: int = WORDS
     # what a content in two documents settles; windows are looked up only for grams of documents that are still open
     sure = scratch.keep(met.join(contents.where("_many").select("gram", "content"), ["gram", "content"]).select("_tag").distinct())
     open_ = scratch.keep(met.where("_unlike").join(sure, "_tag", "left_anti").select("gram").distinct())
-    wanted = contents.join(open_, "gram").groupBy(F.col("_first._tag").alias("_t")).agg(F.collect_list(F.struct("content", "_first.at")).alias("_all"))
+    wanted = contents.join(open_, "gram").groupBy(F.col("_first._tag").alias("_t")).agg(F.collect_set("_first.at").alias("_all"))
     one = own.groupBy("_tag").agg(F.min("_id").alias("_i"))
     places = wanted.join(one, F.col("_t") == F.col("_tag")).select("_t", "_i", "_all")
     texts = own.join(places, (F.col("_tag") == F.col("_t")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_tag", "_text", "_all")
@@ -140,14 +140,11 @@ def documents_with_passages(scratch: Scratch, own: DataFrame, words: int = WORDS
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tag, text, places in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                rows = places.as_py()
-                found = list(windows_around(_split(text.as_py()), [r["at"] for r in rows], words))
-                which = np.repeat([r["content"] for r in rows], [len(x) for x in found])
-                flat = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), tag.as_py())), pa.array(which), pa.array(flat)], names=["_tag", "content", "window"])
+                flat = np.unique(np.concatenate(list(windows_around(_split(text.as_py()), places.as_py(), words))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), tag.as_py())), pa.array(flat)], names=["_tag", "window"])
 
-    around = scratch.keep(texts.mapInArrow(windows, "_tag long, content long, window long"))
+    # a content of one text needs no name here: its windows tie the text itself
+    around = scratch.keep(texts.mapInArrow(windows, "_tag long, window long"))
     tied = scratch.keep(around.groupBy("window").agg(several("_tag").alias("_many")).where("_many").select("window"))
-    alike = around.join(tied, "window").select("content").distinct()
-    found = met.select("_tag", "content").join(alike, "content").select("_tag")
+    found = around.join(tied, "window").select("_tag")
     return found.unionByName(sure).unionByName(copied).distinct()
