@@ -53,11 +53,15 @@ _TOP = 64 - REGISTERS.bit_length() + 1  # bits below those that choose a registe
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Hashes of words that a Python worker keeps: some 10 MB.
+MOST_WORDS = 1 << 16
+
+
 class _Hashes(dict):
-    """64-bit hashes of words, each computed once; emptied when it has grown large."""
+    """64-bit hashes of words; emptied when it has grown to MOST_WORDS, as workers live on and their memory counts."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) >= MOST_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word, 20240521)
         return found
