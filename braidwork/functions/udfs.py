@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,14 +63,41 @@ def recall_tagged(ref: pd.Series, hyp: pd.Series, tags: pd.Series) -> pd.Series:
     return pd.Series([indic.recall(a, b, None if t is None else list(t)) for a, b, t in zip(ref, hyp, tags, strict=True)])
 
 
-def mixed_normaliser(force: dict, names: dict, ambiguous: dict, english: set, lexicon: dict):
-    """The two-pass normaliser with its dictionaries (bounded assets, sent once per task)."""
+#: Fixed value: characters of text after which the normaliser hands its rows on.
+PORTION = 1 << 18
+
 
-    span = T.StructType([T.StructField(c, T.StringType()) for c in ("src", "lang", "how")])
+def portions(texts: Iterable[pa.Array], most: int = PORTION) -> Iterator[list[str | None]]:
+    """The rows of each batch in lists of up to `most` characters, or of one longer text."""
+    for batch in texts:
+        held, size = [], 0
+        for value in batch:
+            text = value.as_py()
+            if held and size + len(text or "") > most:
+                yield held
+                held, size = [], 0
+            held.append(text)
+            size += len(text or "")
+        if held:
+            yield held
 
-    @F.pandas_udf(T.StructType([T.StructField("out", T.StringType()), T.StructField("spans", T.ArrayType(span))]))
-    def apply(text: pd.Series) -> pd.DataFrame:
-        rows = [indic.mixed_normalise(t, force, names, ambiguous, english, lexicon) for t in text]
-        return pd.DataFrame({"out": [r[0] for r in rows], "spans": [[{"src": s, "lang": la, "how": h} for s, la, h in r[1]] for r in rows]})
+
+def mixed_normaliser(force: dict, names: dict, ambiguous: dict, english: set, lexicon: dict):
+    """The two-pass normaliser with its dictionaries (bounded assets, sent once per task).
+
+    A span per word takes many times the text, so a worker holds those of one portion at a time.
+    """
+    parts = ("src", "lang", "how")
+    kind = T.StructType([T.StructField("out", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in parts])))])
+
+    @F.arrow_udf(kind)
+    def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        normalise = indic.mixed_normaliser(force, names, ambiguous, english, lexicon)
+        for rows in portions(texts):
+            done = [normalise(t) for t in rows]
+            every = [x for _, spans in done for x in spans]
+            span = pa.StructArray.from_arrays([pa.array([getattr(x, a) for x in every], pa.string()) for a in ("source", "language", "how")], list(parts))
+            ends = pa.array([0, *itertools.accumulate(len(spans) for _, spans in done)], pa.int32())
+            yield pa.StructArray.from_arrays([pa.array([out for out, _ in done], pa.string()), pa.ListArray.from_arrays(ends, span)], ["out", "spans"])
 
     return apply

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,15 @@ def test_lengths_settle_only_what_distances_would():
     for _ in range(400):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(9))) for _ in range(2))
         assert indic._near(a, b, 0.8) == (indic.closeness(a, b) >= 0.8)
+
+
+def test_normaliser_holds_a_portion_of_rows_at_a_time(spark):
+    texts = ["x" * 30, None, "", "yz " * 10] * 5 + ["w" * 500]
+    got = list(udfs.portions([pa.array(texts[:7]), pa.array(texts[7:], pa.string())], 64))
+    assert [t for rows in got for t in rows] == texts and all(len(rows) == 1 or sum(len(t or "") for t in rows) <= 64 for rows in got)
+    args = ({"hai": "है"}, {"delhi": "दिल्ली"}, {"main": "मैं"}, {"office", "the"}, {"naam": "नाम"})
+    rows = [(i, t) for i, t in enumerate(["main office, Delhi naam hai! " * 3000, None, "", "!!", "Delhi main", "Main", "q" * 200 + " the main"] * 9)]
+    norm = udfs.mixed_normaliser(*args)
+    for r in spark.createDataFrame(rows, "i long, t string").coalesce(2).select("i", "t", norm("t").alias("n")).collect():
+        out, spans = indic.mixed_normalise(r["t"], *args)
+        assert r["n"]["out"] == out and [tuple(s) for s in r["n"]["spans"]] == spans
