@@ -8,9 +8,12 @@ component, and nothing but edges and states is written between rounds.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +22,50 @@ from braidwork.functions import columns as C
 from braidwork.operators.ranking import written
 
 
+class Minima:
+    """Salted 64-bit BLAKE2b of shingles, remembered in a table of fixed size; a full table starts anew."""
+
+    def __init__(self, perms: int, most: int = 1 << 17):
+        self.salted = [hashlib.blake2b(digest_size=8, salt=p.to_bytes(2, "little")) for p in range(perms)]
+        self.rows = np.empty((most, perms), "<u8")
+        self.places: dict[bytes, int] = {}
+
+    def hashes(self, shingle: bytes) -> np.ndarray:
+        found = []
+        for start in self.salted:
+            h = start.copy()
+            h.update(shingle)
+            found.append(h.digest())
+        return np.frombuffer(b"".join(found), "<u8")
+
+    def least(self, shingles: Iterable[bytes]) -> np.ndarray:
+        """The least hash under each salt."""
+        low, held = np.full(len(self.salted), 2**64 - 1, "<u8"), []
+        for x in shingles:
+            at = self.places.get(x)
+            if at is None:
+                if len(self.places) == len(self.rows):
+                    low, held = np.minimum(low, self.rows[held].min(0, initial=2**64 - 1)), []
+                    self.places.clear()
+                at = self.places[x] = len(self.places)
+                self.rows[at] = self.hashes(x)
+            held.append(at)
+        return np.minimum(low, self.rows[held].min(0, initial=2**64 - 1))
+
+
+@functools.lru_cache(maxsize=1)
+def minima(perms: int) -> Minima:
+    """The table of this process."""
+    return Minima(perms)
+
+
 def signature(text: str, perms: int = 64, k: int = 5) -> list[str]:
     """Minima of salted 64-bit BLAKE2b over k-character shingles, as hex; zeros for an empty text."""
     s = text.replace(" ", "")
-    parts = {s[i : i + k].encode() for i in range(max(1, len(s) - k + 1))} if s else set()
-    one = lambda salt: min(int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=salt).digest(), "little") for x in parts)
-    return [f"{one(p.to_bytes(2, 'little')) if parts else 0:016x}" for p in range(perms)]
+    if not s:
+        return [f"{0:016x}"] * perms
+    parts = {s[i : i + k] for i in range(max(1, len(s) - k + 1))}
+    return [f"{x:016x}" for x in minima(perms).least(map(str.encode, parts)).tolist()]
 
 
 def signed(df: DataFrame, text: str, perms: int = 64, k: int = 5) -> DataFrame:
@@ -53,10 +94,12 @@ def matches(df: DataFrame, order: str, threshold: float = 0.85) -> DataFrame:
     perms = len(rows.select("sig").head()[0]) if rows.head(1) else 1
     bands = perms - math.ceil(threshold * perms - 1e-9) + 1
     cuts = [perms * i // bands for i in range(bands + 1)]
-    keyed = rows.select("o", "sig", F.explode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", cuts[i] + 1, cuts[i + 1] - cuts[i])) for i in range(bands)])).alias("key"))
-    other = keyed.select(F.col("o").alias("p"), F.col("sig").alias("tig"), "key")
+    keyed = rows.select("o", F.explode(F.array(*[F.xxhash64(F.lit(i), F.slice("sig", cuts[i] + 1, cuts[i + 1] - cuts[i])) for i in range(bands)])).alias("key"))
+    # ids alone are dealt by band, each pair gets its signatures once
+    pairs = keyed.join(keyed.withColumnRenamed("o", "p"), "key").where(F.col("o") < F.col("p")).select("o", "p").distinct()
+    both = pairs.join(rows, "o").join(rows.select(F.col("o").alias("p"), F.col("sig").alias("tig")), "p")
     same = F.size(F.filter(F.zip_with("sig", "tig", lambda x, y: x == y), lambda e: e))
-    return keyed.join(other, "key").where(F.col("o") < F.col("p")).where(same >= threshold * perms).select(F.col("o").alias("a"), F.col("p").alias("b")).distinct()
+    return both.where(same >= threshold * perms).select(F.col("o").alias("a"), F.col("p").alias("b")).distinct()
 
 
 def kept(df: DataFrame, order: str, threshold: float = 0.85) -> DataFrame:

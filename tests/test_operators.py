@@ -1,5 +1,6 @@
 """Joins, selection, statistics, sources and streams on small fixtures."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -376,3 +377,31 @@ def test_runs(spark, tmp_path):
     assert [r["i"] for r in runs.with_file(rows, "p", str(tmp_path)).collect()] == [1]
     (tmp_path / "words").write_text("The 9\nthe 8\na 7\nit's 6\nof 5\nnext 4")
     assert sorted(r["word"] for r in runs.ranked_words(spark, str(tmp_path / "words"), 5).collect()) == ["of", "the"]
+
+
+def test_signatures_hash_each_shingle_once(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abक ", k=rng.randrange(40))) for _ in range(60)] + ["", "  ", "abc", "abcde"]
+
+    def plain(text, perms):
+        s = text.replace(" ", "")
+        parts = {s[i : i + 5].encode() for i in range(max(1, len(s) - 4))} if s else set()
+        one = lambda p: min(int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=p.to_bytes(2, "little")).digest(), "little") for x in parts)
+        return [f"{one(p) if parts else 0:016x}" for p in range(perms)]
+
+    for most in (1, 3, 1 << 10):  # tables that start anew within a text too
+        table = neardup.Minima(8, most)
+        monkeypatch.setattr(neardup, "minima", lambda perms, table=table: table)
+        assert [neardup.signature(t, 8) for t in texts] == [plain(t, 8) for t in texts]
+    monkeypatch.setattr(table, "hashes", None)
+    assert [neardup.signature(t, 8) for t in texts] == [plain(t, 8) for t in texts]
+
+
+def test_bands_deal_ids_alone(spark):
+    """No shuffle of band keys carries a signature."""
+    df = spark.createDataFrame([(i, [f"{i // 2}{p // 3}" for p in range(16)]) for i in range(20)], "o long, sig array<string>")
+    plan = neardup.matches(df, "o", 0.85)._jdf.queryExecution().optimizedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate explode" in line]
+    below = [line for line in plan.splitlines() if "Project [o#" in line and "key#" in line]
+    assert generates and not any("sig#" in line for line in below)
+    assert sorted(map(tuple, neardup.matches(df, "o", 0.85).collect())) == [(i, i + 1) for i in range(0, 20, 2)]
