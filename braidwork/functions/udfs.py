@@ -58,6 +58,14 @@ def recall(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([indic.recall(a, b) for a, b in zip(ref, hyp, strict=True)])
 
 
+SCORES = ["recall", "cer", "wer", "cer_spaced"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in SCORES]))
+def pair_scores(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([indic.pair_scores(a, b) for a, b in zip(ref, hyp, strict=True)], columns=SCORES, dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def recall_tagged(ref: pd.Series, hyp: pd.Series, tags: pd.Series) -> pd.Series:
     return pd.Series([indic.recall(a, b, None if t is None else list(t)) for a, b, t in zip(ref, hyp, tags, strict=True)])

@@ -258,7 +258,7 @@ def i11_self_hypothesis(spark, sf):
 
 @query()
 def b03_pair_scores(spark, sf):
-    return rounded(_next_turns(spark, sf).select("conv_id", "turn", udfs.recall("a", "b").alias("recall"), udfs.cer("a", "b").alias("cer"), udfs.wer("a", "b").alias("wer"), udfs.cer_spaced("a", "b").alias("cer_spaced")), 4)
+    return rounded(_next_turns(spark, sf).select("conv_id", "turn", udfs.pair_scores("a", "b").alias("s")).select("conv_id", "turn", "s.*"), 4)
 
 
 @query()

@@ -138,3 +138,27 @@ def test_normaliser_holds_a_portion_of_rows_at_a_time(spark):
     for r in spark.createDataFrame(rows, "i long, t string").coalesce(2).select("i", "t", norm("t").alias("n")).collect():
         out, spans = indic.mixed_normalise(r["t"], *args)
         assert r["n"]["out"] == out and [tuple(s) for s in r["n"]["spans"]] == spans
+
+
+def test_heard_words_are_those_that_same_word_takes(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(60):
+        pool = ["".join(rng.choices("aeickwth", k=rng.randrange(1, 17))) for _ in range(25)]
+        bent = ["".join(c if rng.random() > 0.15 else rng.choice(["", "e", "k" + c]) for c in w) or "a" for w in pool]
+        heard = indic.Heard(bent)
+        assert all(heard.has(w) == any(indic.same_word(w, h) for h in bent) for w in pool)
+    tried = []
+    monkeypatch.setattr(indic, "same_word", lambda a, b: tried.append((a, b)))
+    syllables = [a + b for a in "bdghjklmnprt" for b in "aeiou"]
+    want, got = (" ".join(rng.choice(syllables) + rng.choice(syllables) + rng.choice(syllables) for _ in range(300)) for _ in range(2))
+    indic.recall(want, got)
+    assert len(tried) < 300 * 300 / 10  # not each word against all
+
+
+def test_pair_scores_fold_each_text_once(monkeypatch):
+    pairs = [("coaching center", "कोचिंग सेंटर"), (None, "x"), ("x", None), (None, None), ("", " "), ("the is", "a"), ("कल meeting है 2 w", "kal miting hai do v")]
+    assert [indic.pair_scores(a, b) for a, b in pairs] == [(indic.recall(a, b), indic.cer(a, b), indic.wer(a, b), indic.cer_spaced(a, b)) for a, b in pairs]
+    folded, fold = [], indic.compare_space
+    monkeypatch.setattr(indic, "compare_space", lambda t: folded.append(t) or fold(t))
+    indic.pair_scores("a b", "a c")
+    assert folded == ["a b", "a c"]
