@@ -49,6 +49,12 @@ def seeds(base: int):
     return _text(lambda key: indic.fnv_seed(base, key), T.LongType())
 
 
+def english_recall(stop: list[str]):
+    """Recall of a text's English words in another text."""
+    words = frozenset(stop)
+    return _pair(lambda a, b: indic.english_recall(a, b, words))
+
+
 def token_chunks(most: int):
     return _text(lambda t: indic.token_chunks(t, most), T.ArrayType(T.StringType()))
 

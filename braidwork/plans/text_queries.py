@@ -145,15 +145,15 @@ PAIRED = f"with d as (select doc_id, {ENG_DOC} as e from documents), p as (selec
 
 
 def _paired(spark, sf):
+    """(doc_id, x, y): a text and the next one's."""
     docs = table(spark, sf, "documents")
-    d = spread(docs).select("doc_id", C.english_words(F.col("text"), STOP).alias("e"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("e").alias("y"))
-    return d.select("doc_id", F.col("e").alias("x")).join(b, "doc_id").transform(spread, docs)
+    y = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y"))
+    return docs.select("doc_id", F.col("text").alias("x")).join(y, "doc_id").transform(spread, docs)
 
 
 @query(f"{PAIRED} select doc_id, round(case when len(x) = 0 then null else len(list_filter(x, lambda w: list_contains(known, w))) / len(x) end, 6) as recall from k")
 def i30_i31_english_recall(spark, sf):
-    return rounded(_paired(spark, sf).select("doc_id", C.english_recall(F.col("x"), F.col("y")).alias("recall")))
+    return rounded(_paired(spark, sf).select("doc_id", udfs.english_recall(STOP)("x", "y").alias("recall")))
 
 
 GRAM = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {m}), '|'))"

@@ -162,3 +162,30 @@ def test_pair_scores_fold_each_text_once(monkeypatch):
     monkeypatch.setattr(indic, "compare_space", lambda t: folded.append(t) or fold(t))
     indic.pair_scores("a b", "a c")
     assert folded == ["a b", "a c"]
+
+
+def test_heard_words_match_each_against_all(monkeypatch):
+    rng = random.Random(9)
+    near = lambda w, h: w == h or abs(len(w) - len(h)) <= 2 and indic.distance(w, h) <= max(1, len(w) // 4)
+    bend = lambda w, n: "".join(c if rng.random() > n / len(w) else rng.choice(["", "e", c + c, c + "-"]) for c in w)
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(indic, "AT_ONCE", most)
+        for _ in range(60):
+            words = ["".join(rng.choices("abcde'", k=rng.randrange(1, 20))) for _ in range(20)]
+            heard = [bend(w, rng.randrange(5)) for w in words] + [""]
+            assert indic.heard_words(words, heard) == {w for w in words if any(near(w, h) for h in heard)}
+    measured, distance = [], indic.distance
+    monkeypatch.setattr(indic, "distance", lambda a, b: measured.append((a, b)) or distance(a, b))
+    pick = lambda: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 14))) for _ in range(300)]
+    indic.heard_words(pick(), pick())
+    assert len(measured) < 300
+
+
+def test_english_recall_of_texts(spark):
+    stop = ["the", "it's"]
+    texts = ["The cat's -x x- it's IT'S don\x85go a\xa0b x\x1cy KK İx caf\xe9 q1 zebra''", "", None, "the", "center centre  phones\nfone", "phone center abcdefghij", "bcdefghijk abcdefghij-- abcdefghij"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    rows = df.select("a", "b", C.english_words(F.col("a"), stop).alias("e"), C.english_recall(*[C.english_words(F.coalesce(c, F.lit("")), stop) for c in ("a", "b")]).alias("w"), udfs.english_recall(stop)("a", "b").alias("r")).collect()
+    for r in rows:
+        assert r["e"] is None or indic.english_words(r["a"], frozenset(stop)) == r["e"]
+        assert r["r"] == r["w"]
