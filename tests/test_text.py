@@ -189,3 +189,12 @@ def test_english_recall_of_texts(spark):
     for r in rows:
         assert r["e"] is None or indic.english_words(r["a"], frozenset(stop)) == r["e"]
         assert r["r"] == r["w"]
+
+
+def test_similarity_of_equal_texts_needs_no_blocks(monkeypatch):
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("ab cd", k=rng.choice([3, 40, 260]))) for _ in range(40)]
+    whole = [indic.compare_space(t) for t in texts]
+    assert all(indic.difflib.SequenceMatcher(None, t, t).ratio() == 1.0 for t in whole if t)
+    monkeypatch.setattr(indic.difflib, "SequenceMatcher", None)
+    assert [indic.similarity(t, t) for t in texts] == [1.0 if not t or c else 0.0 for t, c in zip(texts, whole, strict=True)]
