@@ -44,6 +44,11 @@ similarity = _pair(indic.similarity)
 distance = _pair(indic.distance, T.LongType())
 
 
+def similar(least: float):
+    """Whether the similarity of two texts is at least so much."""
+    return _pair(lambda a, b: indic.similar(a, b, least), T.BooleanType())
+
+
 def seeds(base: int):
     """A 31-bit seed of a key."""
     return _text(lambda key: indic.fnv_seed(base, key), T.LongType())

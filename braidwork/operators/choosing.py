@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.functions import columns, udfs
 from braidwork.functions.columns import harmonic_mean
 from braidwork.operators import neardup
@@ -110,18 +113,24 @@ def verified(rows: DataFrame, order: str, threshold: float = 0.85, most_roman: i
     ref_surface_mismatch, corrected_bin_low or corrected_bin_none.
     """
     text = F.coalesce("text", F.lit(""))
-    signed = neardup.signed(rows.withColumn("__c", udfs.compare_space(text)), "__c")
-    first = neardup.kept(signed.select(order, "sig"), order, threshold).select(F.col(order).alias("__o"))
+    once = session.dealt(rows.groupBy(text.alias("__t")).agg(F.min(order).alias("__first")), "__first")  # copies are signed once
+    signed = neardup.signed(once.withColumn("__c", udfs.compare_space("__t")), "__c", numbers=True)
+    first = neardup.firsts(signed.select("__first", "sig"), "__first", threshold)
     lists = [F.array(*map(F.lit, x)).cast("array<string>") for x in (hindi_roman, stop)]
     tagged = F.transform(columns.tokens(text), lambda t: F.struct(t.alias("t"), columns.lexicon_tag(t, *lists).alias("g")))
     roman = lambda m: F.size(F.filter(m, lambda x: (x["g"] == "hi") & x["t"].rlike(r"^[A-Za-z'\-]+$")))
     mixed = lambda m: columns.let(F.transform(m, lambda x: x["g"]), lambda g: F.struct(columns.mixing_bin(columns.mixing_index(g)).alias("bin"), columns.switch_density(g).alias("density")))
     marks = columns.let(tagged, lambda m: F.struct(roman(m).alias("roman"), mixed(m).alias("mixed")))
-    out = rows.join(first, F.col(order) == F.col("__o"), "left").withColumn("__m", marks)
+    # without Devanagari and without a listed word in it, not even as a part, a text has no Hindi
+    some = functools.reduce(operator.or_, (F.lower(text).contains(w) for w in (*hindi_roman, *stop)), text.rlike(columns.DEVA))
+    plain = F.struct(F.lit(0).alias("roman"), F.struct(F.lit("none").alias("bin"), F.lit(0.0).alias("density")).alias("mixed"))
+    out = rows.withColumn("__m", F.when(some, marks).otherwise(plain)).withColumn("__degenerate", columns.degenerate(text))
     out = out.withColumn("cs_mode", F.col("__m.mixed.bin")).withColumn("cs_density", F.round("__m.mixed.density", 3))
-    out = out.withColumn("__s", udfs.similarity("text", "ref_surface")).withColumn("consistency", F.round("__s", 2))
-    reason = (
-        F.when(F.col("__o").isNull(), "near_duplicate").when(columns.degenerate(text) != "", columns.degenerate(text)).when(F.col("__m.roman") > most_roman, "script_violation_hindi_in_latin")
-        .when(F.col("__s") < least_consistency, "ref_surface_mismatch").when(~F.col("cs_mode").isin("high", "med"), F.concat(F.lit("corrected_bin_"), "cs_mode"))
+    # the reason needs no full similarity, which is left out where nobody asks for it
+    out = out.withColumn("consistency", F.round(udfs.similarity("text", "ref_surface"), 2)).withColumn("__similar", udfs.similar(least_consistency)("text", "ref_surface"))
+    own = (
+        F.when(F.col("__degenerate") != "", F.col("__degenerate")).when(F.col("__m.roman") > most_roman, "script_violation_hindi_in_latin")
+        .when(~F.col("__similar"), "ref_surface_mismatch").when(~F.col("cs_mode").isin("high", "med"), F.concat(F.lit("corrected_bin_"), "cs_mode"))
     )
-    return out.withColumn("reason", reason).select(*rows.columns, "reason", "cs_mode", "cs_density", "consistency")
+    judged = out.withColumn("__own", own).join(first, F.col(order) == F.col("__o"), "left")  # texts that aren't asked for aren't shuffled
+    return judged.withColumn("reason", F.when(F.col("__o").isNull(), "near_duplicate").otherwise(F.col("__own"))).select(*rows.columns, "reason", "cs_mode", "cs_density", "consistency")

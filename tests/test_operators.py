@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.functions import columns
+from braidwork.functions import columns, indic
 from braidwork.operators import choosing, joining, measuring, neardup, ranking, statistics
 from braidwork.session import spread
 from braidwork.sources import manifest, runs, waves
@@ -405,3 +405,68 @@ def test_bands_deal_ids_alone(spark):
     below = [line for line in plan.splitlines() if "Project [o#" in line and "key#" in line]
     assert generates and not any("sig#" in line for line in below)
     assert sorted(map(tuple, neardup.matches(df, "o", 0.85).collect())) == [(i, i + 1) for i in range(0, 20, 2)]
+
+
+def test_full_table_of_shingles_keeps_the_used(monkeypatch):
+    rng = random.Random(13)
+    hot, perms = "".join(rng.choices("abc", k=12)), 4
+    table, asked = neardup.Minima(perms, 32), Counter()
+    plain = table.hashes
+    monkeypatch.setattr(table, "hashes", lambda x: asked.update([x]) or plain(x))
+    want = table.least([hot], 5)
+    for i in range(100):
+        rare = chr(0x4E00 + i) * 5 + hot[:5]
+        assert (table.least([hot, rare], 5)[0] == want[0]).all() and table.n <= 32
+    assert all(asked[hot[i : i + 5].encode()] == 1 for i in range(8)) and len(asked) > 32
+
+
+def test_signatures_of_texts_together(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abकñ😀\0 ", k=k)) for k in (0, 1, 4, 5, 6, 40, 9000, 3, 300)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "o long, t string")
+    for k in (3, 5, 7):
+        words = {r["o"]: r["sig"] for r in neardup.signed(df, "t", 8, k).collect()}
+        numbers = {r["o"]: r["sig"] for r in neardup.signed(df, "t", 8, k, numbers=True).collect()}
+        for o, t in enumerate(texts):
+            s = (t or "").replace(" ", "")
+            parts = {s[i : i + k].encode() for i in range(max(1, len(s) - k + 1))}
+            one = lambda p: min(int.from_bytes(hashlib.blake2b(x, digest_size=8, salt=p.to_bytes(2, "little")).digest(), "little") for x in parts)  # noqa: B023, E731
+            want = [one(p) if s else 0 for p in range(8)]
+            assert words[o] == [f"{x:016x}" for x in want] and [x % 2**64 for x in numbers[o]] == want
+
+
+def test_cascade_agrees_with_a_plain_loop(spark):
+    rng = random.Random(15)
+    words = ["main", "hai", "ghar", "office", "train", "यह", "कल", "meeting", "go", "plain", "hairy", "Main's", "नहीं", "café", "12"]
+    base = [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(60)]
+    rows = [(i, t, rng.choice([t, None, rng.choice(base), t + " so", t.upper()])) for i, t in enumerate(base + rng.choices(base, k=60))]
+    df = spark.createDataFrame(rows, "o long, text string, ref_surface string").repartition(5)
+    signs = [neardup.signature(indic.compare_space(t)) for _, t, _ in rows]
+    kept = []
+    for i, s in enumerate(signs):
+        if not any(sum(a == b for a, b in zip(s, signs[k], strict=True)) >= 0.85 * 64 for k in kept):
+            kept.append(i)
+    out = choosing.verified(df, "o", hindi_roman=("ghar",), stop=("hai", "main"))
+    reasons = {r["o"]: r["n"] for r in out.groupBy("o", "reason").agg(F.count("*").alias("n")).collect()}
+    assert reasons == {i: 1 for i in range(len(rows))}
+    tag = lambda w: "hi" if any("ऀ" <= c <= "ॿ" for c in w) or w.lower().strip("'-") in ("ghar", "hai", "main") else "en" if w.isascii() and w.strip("'-").replace("'", "").isalpha() else "other"
+    for r in out.collect():
+        tags = [tag(w) for w in r["text"].split()]
+        hi, en = tags.count("hi"), tags.count("en")
+        low = sorted(r["text"].lower().split())
+        index = min(hi, en) / max(1, hi + en)
+        mode = "none" if not index else "low" if index <= 0.2 else "med" if index <= 0.4 else "high"
+        roman = sum(t == "hi" and w.isascii() for w, t in zip(r["text"].split(), tags, strict=True))
+        s = indic.similarity(r["text"], r["ref_surface"])
+        want = (
+            "near_duplicate" if r["o"] not in kept else "too_short" if len(low) < 5 else "token_repetition" if max(Counter(low).values()) >= max(4, len(low) // 2)
+            else "script_violation_hindi_in_latin" if roman > 1 else "ref_surface_mismatch" if s < 0.55 else f"corrected_bin_{mode}" if mode in ("none", "low") else None
+        )
+        assert (r["reason"], r["cs_mode"]) == (want, mode) and r["consistency"] == pytest.approx(round(s, 2), abs=0.0051)
+
+
+def test_cascade_deals_no_texts_it_isnt_asked_for(spark):
+    df = spark.createDataFrame([(1, "a b c", "a b c")], "o long, text string, ref_surface string")
+    plan = choosing.verified(df, "o").groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.split("LeftOuter")[1].splitlines()[1]
+    assert "AS __own" in dealt and "text#" not in dealt and plan.count("apply(text#") == 1  # and no similarity beside the comparison

@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pyarrow as pa
 import pytest
@@ -198,3 +199,34 @@ def test_similarity_of_equal_texts_needs_no_blocks(monkeypatch):
     assert all(indic.difflib.SequenceMatcher(None, t, t).ratio() == 1.0 for t in whole if t)
     monkeypatch.setattr(indic.difflib, "SequenceMatcher", None)
     assert [indic.similarity(t, t) for t in texts] == [1.0 if not t or c else 0.0 for t, c in zip(texts, whole, strict=True)]
+
+
+def test_similar_settles_what_similarity_does(monkeypatch):
+    rng = random.Random(11)
+    letters = "aab cdeiw 1.éñ́कखािी़्ं\n"
+    texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 3, 12, 60, 260]))) for _ in range(300)]
+
+    def near(text):
+        out = list(text)
+        for _ in range(rng.randrange(1 + len(out) // 2)):
+            out[rng.randrange(len(out))] = rng.choice(letters)
+        return "".join(out)
+
+    pairs = [(t, rng.choice([t, near(t), rng.choice(texts), t[: len(t) // 3], None])) for t in texts] + [(None, None), (None, "a"), ("...", "...")]
+    whole = [indic.similarity(a, b) for a, b in pairs]
+    for least in (0.2, 0.55, 0.8):
+        assert [indic.similar(a, b, least) for a, b in pairs] == [s >= least for s in whole]
+    assert all(indic.similar(a, b, s) for (a, b), s in zip(pairs, whole, strict=True))  # the bound itself counts
+    assert 20 < sum(0.55 <= s < 1 for s in whole) and 50 < sum(s < 0.55 for s in whole)
+    monkeypatch.setattr(indic.difflib, "SequenceMatcher", None)
+    assert not indic.similar("abc " * 10, "cba dec " * 30, 0.55)  # lengths settle it
+
+
+def test_single_runs_and_marks_of_compare_space():
+    rng = random.Random(12)
+    for _ in range(500):
+        text = "".join(rng.choices("aabw  é́̈ñ漢漢😀कि\n", k=rng.randrange(30)))
+        folded = indic.compare_space(text)
+        assert folded == indic.single_runs(folded) and not any(map(unicodedata.combining, folded))
+        line = text.replace("\n", "")
+        assert indic._single_runs_of_line(line) == indic.single_runs(line)
