@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-import operator
+import itertools
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,6 +106,12 @@ def with_replay(won: DataFrame, pool: DataFrame, key: str, share: float, seed: i
     return won.withColumn("origin", F.lit("winner")).unionByName(replay.withColumn("origin", F.lit("replay")))
 
 
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, by their first letter; nothing matches if there are none."""
+    first = lambda w: w[:1]
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(re.escape(w[1:]) for w in group)})" for c, group in itertools.groupby(sorted(words), first)) or "(?!)"
+
+
 def verified(rows: DataFrame, order: str, threshold: float = 0.85, most_roman: int = 1, least_consistency: float = 0.55, hindi_roman: tuple[str, ...] = (), stop: tuple[str, ...] = ()) -> DataFrame:
     """Prompts (text, ref_surface, ...) with `reason` (null: kept), `cs_mode`, `cs_density`, `consistency`: the first check that fails.
 
@@ -121,8 +127,8 @@ def verified(rows: DataFrame, order: str, threshold: float = 0.85, most_roman: i
     roman = lambda m: F.size(F.filter(m, lambda x: (x["g"] == "hi") & x["t"].rlike(r"^[A-Za-z'\-]+$")))
     mixed = lambda m: columns.let(F.transform(m, lambda x: x["g"]), lambda g: F.struct(columns.mixing_bin(columns.mixing_index(g)).alias("bin"), columns.switch_density(g).alias("density")))
     marks = columns.let(tagged, lambda m: F.struct(roman(m).alias("roman"), mixed(m).alias("mixed")))
-    # without Devanagari and without a listed word in it, not even as a part, a text has no Hindi
-    some = functools.reduce(operator.or_, (F.lower(text).contains(w) for w in (*hindi_roman, *stop)), text.rlike(columns.DEVA))
+    # without Devanagari and without a listed word that no letters touch, a text has no Hindi
+    some = text.rlike(columns.DEVA) | F.lower(text).rlike(rf"(?<![a-z])(?:{_any_of((*hindi_roman, *stop))})(?![a-z])")
     plain = F.struct(F.lit(0).alias("roman"), F.struct(F.lit("none").alias("bin"), F.lit(0.0).alias("density")).alias("mixed"))
     out = rows.withColumn("__m", F.when(some, marks).otherwise(plain)).withColumn("__degenerate", columns.degenerate(text))
     out = out.withColumn("cs_mode", F.col("__m.mixed.bin")).withColumn("cs_density", F.round("__m.mixed.density", 3))

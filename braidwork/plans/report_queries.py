@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions import columns as C
-from braidwork.functions import udfs
+from braidwork.functions import indic, udfs
 from braidwork.operators import choosing, joining, measuring, neardup, statistics
 from braidwork.plans.catalog import query, rounded
 from braidwork.plans.inputs import CLIPS, SCORES, TEXTS, clips, scores, texts
@@ -179,17 +179,17 @@ def e23_e24_legacy_intervals(spark, sf):
 
 # verification and near-duplicates as published
 
-HINDI, STOP = ("nahi", "kyun", "yaar"), ("hai", "main")
-
-
 @query()
 def c08_prompt_cascade(spark, sf):
-    """Whole conversation turns as prompts, each against the turn before it as its reference."""
+    """Whole conversation turns as prompts, each against the turn before it as its reference.
+
+    Romanised Hindi is told by the published list of words that always are. The published rule adds the forms of a lexicon
+    that aren't in an English dictionary, where it finds these files; there are none among the tables.
+    """
     c = table(spark, sf, "conversations").where("text is not null")
     refs = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ref_surface"))
     rows = spread(c.select("conv_id", "turn", "text").join(refs, ["conv_id", "turn"], "left"), table(spark, sf, "conversations"))
-    prompts = rows.withColumn("ref_surface", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.col("ref_surface"))).withColumn("o", F.col("conv_id") * 100_000 + F.col("turn"))
-    judged = choosing.verified(prompts, "o", hindi_roman=HINDI, stop=STOP)
+    judged = choosing.verified(rows.withColumn("o", F.col("conv_id") * 100_000 + F.col("turn")), "o", stop=tuple(sorted(indic.ALWAYS_HINDI)))
     return judged.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 

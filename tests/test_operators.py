@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import columns, indic
 from braidwork.operators import choosing, joining, measuring, neardup, ranking, statistics
+from braidwork.plans import report_queries
 from braidwork.session import spread
 from braidwork.sources import manifest, runs, waves
 from braidwork.streaming import incremental
@@ -470,3 +471,37 @@ def test_cascade_deals_no_texts_it_isnt_asked_for(spark):
     plan = choosing.verified(df, "o").groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString()
     dealt = plan.split("LeftOuter")[1].splitlines()[1]
     assert "AS __own" in dealt and "text#" not in dealt and plan.count("apply(text#") == 1  # and no similarity beside the comparison
+
+
+def test_cascade_query_takes_every_step(spark, tmp_path):
+    """Every turn is held against the turn before it, never against itself, and all words of the list are Hindi."""
+    assert {"mujhe", "lagta", "bahut", "wala", "bolo"} <= indic.ALWAYS_HINDI and "main" not in indic.ALWAYS_HINDI and len(indic.ALWAYS_HINDI) == 138
+    rng = random.Random(16)
+    words = ["mujhe", "Lagta", "bahut'", "wala", "bolo", "main", "office", "train", "meeting", "plain", "today", "यह", "कल", "नहीं", "café", "seven-ka", "walay", "12"]
+    hindi = sorted(indic.ALWAYS_HINDI)
+    rows, last = [], None
+    for conv in range(60):
+        for turn in range(rng.randrange(1, 5)):
+            text = " ".join(rng.choices([*words, *rng.choices(words[5:11], k=30), rng.choice(hindi)], k=rng.randrange(3, 12)))
+            rows.append((conv, turn, last + " now" if turn and rng.random() < 0.4 else text))
+            last = rows[-1][2]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    at, kept, want = {(c, t): x for c, t, x in rows}, [], Counter()
+    for conv, turn, text in rows:
+        sign = neardup.signature(indic.compare_space(text))
+        tokens, low = text.split(), Counter(text.lower().split())
+        latin = [w.isascii() and w.replace("'", "").replace("-", "").isalpha() for w in tokens]
+        roman = sum(is_latin and w.lower().strip("'-") in indic.ALWAYS_HINDI for w, is_latin in zip(tokens, latin, strict=True))
+        hi = roman + sum(any("ऀ" <= c <= "ॿ" for c in w) for w in tokens)
+        en = sum(latin) - roman
+        index = min(hi, en) / max(1, hi + en)
+        mode = "none" if not index else "low" if index <= 0.2 else "med" if index <= 0.4 else "high"
+        if any(sum(map(str.__eq__, sign, k)) >= 0.85 * 64 for k in kept):
+            want["near_duplicate"] += 1
+            continue
+        kept.append(sign)
+        want[
+            "too_short" if len(tokens) < 5 else "token_repetition" if max(low.values()) >= max(4, len(tokens) // 2) else "script_violation_hindi_in_latin" if roman > 1
+            else "ref_surface_mismatch" if indic.similarity(text, at.get((conv, turn - 1))) < 0.55 else f"corrected_bin_{mode}" if mode in ("none", "low") else "kept"
+        ] += 1
+    assert len(want) == 8 and {r["reason"]: r["n"] for r in report_queries.c08_prompt_cascade(spark, str(tmp_path)).collect()} == want
